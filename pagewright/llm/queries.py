@@ -10,6 +10,7 @@ from pagewright.llm.budget import BudgetState, add_deltas, budget_report, signed
 from pagewright.llm.encoding import encode_corpus
 from pagewright.llm.mixing import mix_documents
 from pagewright.llm.neardup import similar_groups, similar_pairs
+from pagewright.llm.pairs import defective_pairs
 from pagewright.llm.pieces import oversized, split_oversized
 from pagewright.llm.quality import chunk_kinds, not_prose
 from pagewright.sources.tables import table
@@ -26,6 +27,10 @@ def p1_statistics(spark: SparkSession, sf: str) -> DataFrame:
     return chunk_kinds(table(spark, sf, "chunks"), table(spark, sf, "lexicon"))
 
 
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return defective_pairs(table(spark, sf, "dataset"), table(spark, sf, "lexicon"))
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return similar_pairs(table(spark, sf, "chunks"))
 
@@ -59,7 +64,7 @@ def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_statistics, p3_found, p3_groups, p5_token_budget, p6_found, p6_pieces, p7_ids, p8_mix, p8_shares)}
+    return {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p3_found, p3_groups, p5_token_budget, p6_found, p6_pieces, p7_ids, p8_mix, p8_shares)}
 
 
 def oracle_sql() -> dict[str, str]:
