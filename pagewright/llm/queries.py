@@ -13,6 +13,7 @@ from pagewright.llm.neardup import similar_groups, similar_pairs
 from pagewright.llm.pairs import defective_pairs
 from pagewright.llm.pieces import oversized, split_oversized
 from pagewright.llm.quality import chunk_kinds, not_prose
+from pagewright.llm.scans import repaired_scans, scan_noise
 from pagewright.sources.tables import table
 
 #: Day before which the earlier snapshot of the incremental budget ends.
@@ -39,6 +40,14 @@ def p3_groups(spark: SparkSession, sf: str) -> DataFrame:
     return similar_groups(table(spark, sf, "chunks"))
 
 
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return scan_noise(table(spark, sf, "chunks"), table(spark, sf, "lexicon"))
+
+
+def p4_repaired(spark: SparkSession, sf: str) -> DataFrame:
+    return repaired_scans(table(spark, sf, "chunks"), table(spark, sf, "lexicon"))
+
+
 def p5_token_budget(spark: SparkSession, sf: str) -> DataFrame:
     return token_budget(table(spark, sf, "chunks"), table(spark, sf, "doc_catalog"))
 
@@ -64,7 +73,7 @@ def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p3_found, p3_groups, p5_token_budget, p6_found, p6_pieces, p7_ids, p8_mix, p8_shares)}
+    return {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p3_found, p3_groups, p4_found, p4_repaired, p5_token_budget, p6_found, p6_pieces, p7_ids, p8_mix, p8_shares)}
 
 
 def oracle_sql() -> dict[str, str]:
