@@ -12,6 +12,7 @@ from pagewright.llm.mixing import mix_documents
 from pagewright.llm.neardup import similar_groups, similar_pairs
 from pagewright.llm.pairs import defective_pairs
 from pagewright.llm.pieces import oversized, split_oversized
+from pagewright.llm.pii import personal_items, redacted
 from pagewright.llm.quality import chunk_kinds, not_prose
 from pagewright.llm.scans import repaired_scans, scan_noise
 from pagewright.sources.tables import table
@@ -72,8 +73,16 @@ def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mix_documents(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))[1]
 
 
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return personal_items(table(spark, sf, "documents"), table(spark, sf, "lexicon"), table(spark, sf, "given_names"))
+
+
+def p9_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    return redacted(table(spark, sf, "documents"), table(spark, sf, "lexicon"), table(spark, sf, "given_names"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p3_found, p3_groups, p4_found, p4_repaired, p5_token_budget, p6_found, p6_pieces, p7_ids, p8_mix, p8_shares)}
+    return {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p3_found, p3_groups, p4_found, p4_repaired, p5_token_budget, p6_found, p6_pieces, p7_ids, p8_mix, p8_shares, p9_found, p9_redacted)}
 
 
 def oracle_sql() -> dict[str, str]:
