@@ -12,13 +12,13 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import product
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pagewright.llm.quality import lexicon_words
+from pagewright.plans.lineage import materialize
 
 LEAST_CONFIDENCE = 60.0
 #: Pages of a document that a line must recur on.
@@ -27,12 +27,9 @@ LEAST_PAGES = 3
 LEAST_COUNT = 3
 EDGE_LINES = 2
 
-#: What recognition makes of characters (read, meant), as known from the literature on scanning.
-CONFUSIONS = [
-    ("rn", "m"), ("cl", "d"), ("vv", "w"), ("d", "cl"), ("m", "rn"), ("c", "e"), ("e", "c"), ("f", "t"), ("t", "f"), ("í", "i"), ("ì", "i"), ("1", "i"), ("1", "l"), ("|", "l"), ("|", "i"), ("!", "i"), ("l", "i"), ("i", "l"),
-    ("0", "o"), ("5", "s"), ("$", "s"), ("9", "g"), ("q", "g"), ("6", "b"), ("8", "b"), ("e", "é"), ("e", "è"), ("e", "ê"), ("a", "à"), ("a", "ä"), ("o", "ö"), ("u", "ü"), ("n", "u"), ("u", "n"), ("b", "h"), ("h", "b"), ("ii", "n"), ("2", "z"),
-    ("0", "о"), ("o", "о"), ("p", "р"), ("e", "е"), ("a", "а"), ("c", "с"), ("x", "х"), ("y", "у"), ("k", "к"), ("m", "м"), ("t", "т"), ("h", "н"), ("b", "в"), ("п", "н"), ("н", "п"), ("н", "и"), ("и", "н"), ("п", "л"), ("л", "п"), ("г", "т"), ("т", "г"), ("8", "в"), ("6", "б"), ("3", "з"), ("4", "ч"), ("ьг", "ы"), ("ь1", "ы"), ("е", "с"), ("с", "е"),
-]
+#: Characters that recognition confuses, as known from the literature on scanning. Each row is a class; several letters come first.
+LATIN_CLASSES = ["rn m", "cl d", "vv w", "ii n", "c e é è ê", "f t", "i í ì ï 1 l | !", "o ö 0", "s 5 $", "g 9 q", "u n ü", "h b 6 8", "z 2", "a à ä"]
+CYRILLIC_CLASSES = ["ьг ы", "ь1 ы", "о o 0", "а a", "е e с c", "р p", "х x", "у y", "к k", "м m", "т t г", "в b 8", "б 6", "з 3", "ч 4", "н h п и л"]
 #: Marks left by hyphenation, as printed or as misread.
 BREAK_MARKS = "-‐‑–_~¬\xad"
 #: How pages are numbered, in the languages of the corpus.
@@ -41,19 +38,25 @@ _DECORATED = re.compile(r"[^\W\d_]|/|^[\W_]+\d+[\W_]+$")
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 _TOKEN = re.compile(r"(?<![\w|!$])(?=[\w|!$]*[^\W\d_])[\w|!$]+(?![\w$])")
-_PART = r"((?:[^\W_]|[|!$])+)"
-_BREAK = re.compile(rf"{_PART}([{BREAK_MARKS}])?[ \t]*\n\s*{_PART}|{_PART}([{BREAK_MARKS}]) {_PART}")
+_GAP = re.compile(rf"(?<=[^\W_|!$])([{BREAK_MARKS}])?[ \t]*\n\s*(?=[^\W_]|[|!$])|(?<=[|!$])([{BREAK_MARKS}])?[ \t]*\n\s*(?=[^\W_])|(?<=[^\W_])([{BREAK_MARKS}]) (?=[^\W_])")
+_LEFT, _RIGHT = re.compile(r"(?:[^\W_]|[|!$])+$"), re.compile(r"(?:[^\W_]|[|!$])+")
 
 
-def skeleton(text: str) -> str:
+def _folder(classes: list[str]) -> tuple[list[tuple[str, str]], dict[int, str]]:
+    rows = [c.split(" ") for c in classes]
+    return [(a, r[-1]) for r in rows for a in r if len(a) > 1], {ord(a): r[0] for r in rows if len(r[0]) == 1 for a in r}
+
+
+_LATIN, _CYRILLIC = _folder(LATIN_CLASSES), _folder(CYRILLIC_CLASSES)
+
+
+def skeleton(text: str, with_pairs: bool = True) -> str:
     """Classes of characters that recognition confuses; equal for a text and its misread forms."""
     text = text.lower()
-    for a, b in (("rn", "m"), ("cl", "d"), ("vv", "w"), ("ii", "n"), ("ьг", "ы"), ("ь1", "ы")):
+    several, single = _CYRILLIC if any("а" <= c <= "я" for c in text) else _LATIN
+    for a, b in several if with_pairs else ():
         text = text.replace(a, b)
-    return text.translate(_CLASSES)
-
-
-_CLASSES = str.maketrans("cfíìï1|!l0o5$9q68nbpаеорсухкмтгнпилв34éèêàäöü", "etiiiiiiioossggbbuh" + "paeopcyxkmtt" + "hhhhbzчeeeaaou")
+    return text.translate(single)
 
 
 def running_key(line: str) -> str:
@@ -63,49 +66,32 @@ def running_key(line: str) -> str:
 
 
 class Corrector:
-    """Maps misread words to words of a lexicon."""
+    """Maps misread words to words of a lexicon, through their common skeleton."""
 
     def __init__(self, lexicon: list[str]):
         self.words = frozenset(lexicon)
-        self._meant: dict[str, list[str]] = {}
-        for read, meant in CONFUSIONS:
-            self._meant.setdefault(read, []).append(meant)
+        self._of: dict[str, list[str]] = {}
+        for word in sorted(self.words):
+            for key in {skeleton(word), skeleton(word, False)}:
+                self._of.setdefault(key, []).append(word)
         self.intended = lru_cache(maxsize=200_000)(self._intended)
 
     def _intended(self, word: str) -> str | None:
-        """The lexicon word nearest to a misread one: fewest replacements, then the least word; None for words of the lexicon."""
-        if word in self.words or len(word) < 3 or len(word) > 40:
+        """The word of the lexicon with the same skeleton, the nearest if there are several; None for words of the lexicon."""
+        if word in self.words or not 3 <= len(word) <= 40:
             return None
-        cyrillic = sum("а" <= c <= "я" or c == "ё" for c in word)
-        spots = [(i, read, meant) for read, ms in self._meant.items() for i in range(len(word)) if word.startswith(read, i) for meant in ms]
-        # Latin look-alikes in a Cyrillic word are replaced all at once: they come in any number.
-        if cyrillic:
-            looks = word.translate(_LOOKS)
-            if looks != word and looks in self.words:
-                return looks
-        found = self._replaced(word, [(s,) for s in spots])
-        if found:
-            return min(found)
-        spots = spots[:24]
-        found = self._replaced(word, [(a, b) for a, b in product(spots, spots) if a[0] + len(a[1]) <= b[0]])
-        if found:
-            return min(found)
-        if cyrillic and looks != word:
-            return self._intended(looks)
-        return None
-
-    def _replaced(self, word: str, choices: list[tuple]) -> set[str]:
-        out = set()
-        for choice in choices:
-            text = word
-            for i, read, meant in reversed(choice):
-                text = text[:i] + meant + text[i + len(read) :]
-            if text in self.words:
-                out.add(text)
-        return out
-
-
-_LOOKS = str.maketrans("oapecxykmth0836", "оаресхукмтновзб")
+        like = self._of.get(skeleton(word)) or self._of.get(skeleton(word, False))
+        return min(like, key=lambda w: (_edits(word, w), w)) if like else None
+
+
+def _edits(a: str, b: str) -> int:
+    """Edit distance."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
 
 
 def is_page_number(line: str, page: int | None) -> bool:
@@ -138,21 +124,24 @@ def edge_lines(text: str, page: int | None, common: frozenset[str]) -> list[tupl
     return out
 
 
-def _spaced(body: str, corrector: Corrector) -> Iterator[tuple[re.Match[str], re.Match[str], str]]:
-    """Neighbours in a line, not both words, that make one word of the lexicon without the space."""
-    before = None
-    for m in _TOKEN.finditer(body):
-        if before is not None and body[before.end() : m.start()] == " ":
-            a, b = before.group().lower(), m.group().lower()
-            if (a not in corrector.words or b not in corrector.words) and len(a) + len(b) >= 5 and a + b in corrector.words:
-                yield before, m, a + b
-        before = m
-
-
-def _misread(body: str, corrector: Corrector, covered: list[tuple[int, int]]) -> Iterator[tuple[re.Match[str], str]]:
+def _unknown(body: str, corrector: Corrector) -> tuple[list[tuple[re.Match[str], str]], list[tuple[re.Match[str], re.Match[str], str]]]:
+    """Words outside the lexicon with their lower-cased form, and neighbours in a line that make one word of it without the space."""
+    words, before, before_known, before_word = corrector.words, None, True, ""
+    unknown, spaced = [], []
     for m in _TOKEN.finditer(body):
-        word = m.group().strip("_").lower()
-        if word not in corrector.words and (meant := corrector.intended(word)) and not any(a <= m.start() < b for a, b in covered):
+        word = m.group().lower()
+        known = word in words
+        if not known:
+            unknown.append((m, word.strip("_")))
+        if not (known and before_known) and before is not None and len(word) + len(before_word) >= 5 and before.end() + 1 == m.start() and body[before.end()] == " " and before_word + word in words:
+            spaced.append((before, m, before_word + word))
+        before, before_known, before_word = m, known, word
+    return unknown, spaced
+
+
+def _misread(unknown: list[tuple[re.Match[str], str]], corrector: Corrector, covered: list[tuple[int, int]]) -> Iterator[tuple[re.Match[str], str]]:
+    for m, word in unknown:
+        if (meant := corrector.intended(word)) and not any(a <= m.start() < b for a, b in covered):
             yield m, meant
 
 
@@ -212,17 +201,20 @@ def _body(text: str, page: int | None, running: set[int]) -> tuple[list[tuple[st
 
 def _torn(body: str, corrector: Corrector, is_table: bool) -> Iterator[tuple[int, int, str, str, str, str]]:
     """(begin, end, left, right, whole, evidence) of words that may be torn. evidence: ``mark``, ``none`` or ``inline``."""
-    at = 0
-    while (m := _BREAK.search(body, at)) is not None:
-        inline = m.group(4) is not None
-        left, mark, right = m.group(4, 5, 6) if inline else m.group(1, 2, 3)
-        at = m.start(6) if inline else m.start(3)
-        before, after = body[m.start() - 1 : m.start()], body[m.end() : m.end() + 1]
-        if before in BREAK_MARKS and before or not _LETTERS.search(left) or not right[0].islower() and not right[0].isdigit() and not right.isupper():
+    if is_table:
+        return
+    for gap in _GAP.finditer(body):
+        left, right = _LEFT.search(body, max(0, gap.start() - 48), gap.start()), _RIGHT.match(body, gap.end())
+        if not left or not right or not _LETTERS.search(left.group()):
+            continue
+        before, after = body[left.start() - 1 : left.start()], body[right.end() : right.end() + 1]
+        if before and before in BREAK_MARKS or not (right.group()[0].islower() or right.group()[0].isdigit() or right.group().isupper()):
             continue
-        if is_table or (after in tuple(BREAK_MARKS) and body[m.end() + 1 : m.end() + 2].isalnum()):
+        if after and after in BREAK_MARKS and body[right.end() + 1 : right.end() + 2].isalnum():
             continue
-        yield m.start(), m.end(), left.lower(), right.lower(), (left + right).lower(), "inline" if inline else "mark" if mark else "none"
+        mark = gap.group(1) or gap.group(2)
+        a, b = left.group().lower(), right.group().lower()
+        yield left.start(), right.end(), a, b, a + b, "inline" if gap.group(3) else "mark" if mark else "none"
 
 
 def scan_findings(chunks: DataFrame, lexicon: DataFrame) -> DataFrame:
@@ -247,14 +239,16 @@ def scan_findings(chunks: DataFrame, lexicon: DataFrame) -> DataFrame:
                     out.append((chunk, h, "hyphen_break", meant or whole, left, right, evidence))
                     if meant is not None:
                         covered.append((begin, end))
-                for left, right, whole in _spaced(body, corrector):
+                unknown, spaced = _unknown(body, corrector)
+                for left, right, whole in spaced:
                     out.append((chunk, h, "hyphen_break", whole, left.group().lower(), right.group().lower(), "inline"))
                     covered.append((left.start(), right.end()))
-                out += [(chunk, h, "misread", meant, None, None, None) for _, meant in _misread(body, corrector, covered)]
+                out += [(chunk, h, "misread", meant, None, None, None) for _, meant in _misread(unknown, corrector, covered)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 7, (pa.string(), pa.int64(), *[pa.string()] * 5))], names)
 
     names = ["chunk_id", "content_hash", "kind", "item", "left", "right", "evidence"]
-    return rows.mapInArrow(run, "chunk_id string, content_hash bigint, kind string, item string, left string, right string, evidence string")
+    found = rows.mapInArrow(run, "chunk_id string, content_hash bigint, kind string, item string, left string, right string, evidence string")
+    return materialize(found, "scan-findings")  # several steps read it; the texts are gone through once
 
 
 @lru_cache(maxsize=2)
@@ -302,9 +296,8 @@ def _like(word: str, meant: str) -> str:
 def _repaired(body: str, corrector: Corrector, joined: set[tuple[str, str]]) -> str:
     """Paragraphs without torn words and misread characters."""
     table = body.count("|") > 4 or body.count("\t") > 3
-    edits = [(b, e, _BREAK.match(body, b)) for b, e, left, right, _, _ in _torn(body, corrector, table) if (left, right) in joined]
-    edits = [(b, e, "".join(x for x in (m.group(1, 3) if m.group(1) else m.group(4, 6)))) for b, e, m in edits if m]
-    edits += [(a.start(), b.end(), a.group() + b.group()) for a, b, _ in _spaced(body, corrector) if (a.group().lower(), b.group().lower()) in joined]
+    edits = [(b, e, body[b : b + len(left)] + body[e - len(right) : e]) for b, e, left, right, _, _ in _torn(body, corrector, table) if (left, right) in joined]
+    edits += [(a.start(), b.end(), a.group() + b.group()) for a, b, _ in _unknown(body, corrector)[1] if (a.group().lower(), b.group().lower()) in joined]
     out, at = [], 0
     for begin, end, text in sorted(edits):
         if begin >= at:
@@ -312,7 +305,7 @@ def _repaired(body: str, corrector: Corrector, joined: set[tuple[str, str]]) ->
             at = end
     body = "".join(out) + body[at:]
     out, at = [], 0
-    for m, meant in _misread(body, corrector, []):
+    for m, meant in _misread(_unknown(body, corrector)[0], corrector, []):
         out += [body[at : m.start()], _like(m.group(), meant)]
         at = m.end()
     body = "".join(out) + body[at:]
@@ -342,7 +335,7 @@ def repaired_scans(chunks: DataFrame, lexicon: DataFrame) -> DataFrame:
             out = []
             for chunk, page, text, marked, pairs in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 items, body = _body(text, page, set(marked or ()))
-                repairs = len(items) + len(pairs or ()) + sum(1 for _ in _misread(body, corrector, []))
+                repairs = len(items) + len(pairs or ()) + sum(1 for _ in _misread(_unknown(body, corrector)[0], corrector, []))
                 out.append((chunk, _repaired(body, corrector, {tuple(x.split(" ")) for x in pairs or ()}), repairs))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 3, (pa.string(), pa.string(), pa.int32()))], ["chunk_id", "content", "n_repairs"])
 
