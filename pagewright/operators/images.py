@@ -43,9 +43,7 @@ def gray_features(gray: np.ndarray) -> tuple:
     return width, height, len(np.unique(small)) / 256, float(small.std()) / 255, float(edges), peaks / max(1, sum(small.shape)), float(entropy), float(square.std()), f"{int(bits, 2):016x}"
 
 
-@pandas_udf(f"struct<{', '.join(x.replace(' ', ': ') for x in FEATURES.split(', '))}>")
-def raw_gray_features(width: pd.Series, height: pd.Series, pixels: pd.Series) -> pd.DataFrame:
-    """Features of raw 8-bit gray pixels; NULLs where the size does not fit the bytes."""
+def _feature_frame(width: pd.Series, height: pd.Series, pixels: pd.Series) -> pd.DataFrame:
     rows = []
     for w, h, p in zip(width, height, pixels):
         ok = p is not None and w and h and len(p) == int(w) * int(h)
@@ -53,6 +51,11 @@ def raw_gray_features(width: pd.Series, height: pd.Series, pixels: pd.Series) ->
     return pd.DataFrame(rows, columns=[x.split(" ")[0] for x in FEATURES.split(", ")])
 
 
+def raw_gray_features(width: Column, height: Column, pixels: Column) -> Column:
+    """Features of raw 8-bit gray pixels as a struct; NULLs where the size does not fit the bytes."""
+    return pandas_udf(_feature_frame, FEATURES)(width, height, pixels)
+
+
 def image_class(f: Column) -> Column:
     """An ordered list of rules over the features; chart by default and without features."""
     d, c, e, n = f["diversity"], f["contrast"], f["edge_ratio"], f["line_density"]

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from pagewright.functions.predicates import IMAGE_TYPES, image_question, table_question
+from pagewright.plans.lineage import materialize
 
 HITS = ["query_id", "chunk_id", "type", "score", "ord"]
 
@@ -125,8 +126,9 @@ def search(questions: DataFrame, chunks: DataFrame, dense: DataFrame, lexical: D
     merge, anchor lift, table and image top-up, ranking, and the guarantee of a table or an
     image where the question asks for one.
     """
-    asked = intent(questions)
-    candidates = anchor_candidates(asked, chunks)
+    # Every step reads the one before several times: each is written once.
+    asked = materialize(intent(questions), "questions")
+    candidates = materialize(anchor_candidates(asked, chunks), "anchor-candidates")
     n = F.row_number().over(W.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "chunk_id"))
     ranked = candidates.withColumn("n", n)
     fast = ranked.where(F.col("n") <= k).withColumn("all", F.count("*").over(W.partitionBy("query_id"))).where(F.col("all") >= k)
@@ -134,13 +136,13 @@ def search(questions: DataFrame, chunks: DataFrame, dense: DataFrame, lexical: D
     done = fast.select("query_id").distinct()
     slow = asked.join(done, "query_id", "left_anti")
     only = lambda rows: rows.join(slow.select("query_id"), "query_id", "left_semi")
-    hits = anchor_topup(merge_hybrid(only(dense), only(lexical)), only(candidates), k)
+    hits = materialize(anchor_topup(materialize(merge_hybrid(only(dense), only(lexical)), "merged"), only(candidates), k), "lifted")
     pool = only(lexical_pool if lexical_pool is not None else lexical).withColumn("stage", F.lit(0)).unionByName(only(dense_pool if dense_pool is not None else dense).withColumn("stage", F.lit(1)))
-    pool = pool.select("query_id", "chunk_id", "type", "stage", "rank")
+    pool = materialize(pool.select("query_id", "chunk_id", "type", "stage", "rank"), "pool")
     tables, images = slow.where("is_table"), slow.where("is_image")
-    hits = type_topup(hits, pool, tables, ["table"], k)
-    hits = type_topup(hits, pool, images, IMAGE_TYPES, k)
-    top = first_k(hits, k)
+    hits = materialize(type_topup(hits, pool, tables, ["table"], k), "with-tables")
+    hits = materialize(type_topup(hits, pool, images, IMAGE_TYPES, k), "with-images")
+    top = materialize(first_k(hits, k), "top")
     top = ensure_type(top, hits, tables, ["table"], k)
     top = ensure_type(top, hits, images, IMAGE_TYPES, k)
     return fast.unionByName(top.select("query_id", "n", "chunk_id", "type", "score"))

@@ -10,6 +10,7 @@ from pagewright.operators.evaluation import parse_scores, with_expected
 from pagewright.operators.lexical import bm25_top_k, build_index, query_tokens, search_text
 from pagewright.operators.retrieval import search
 from pagewright.operators.vectors import top_k
+from pagewright.plans.lineage import materialize
 from pagewright.providers import ExtractiveAnswerer, HashEmbedder, OverlapJudge, Provider, asked
 
 
@@ -38,13 +39,15 @@ def embed_chunks(chunks: DataFrame, provider: Provider | None = None) -> DataFra
 def retrieve(questions: DataFrame, chunks: DataFrame, vectors: DataFrame, k: int = 12, hybrid: bool = True, embedder: Provider | None = None) -> DataFrame:
     """(query_id, n, chunk_id, type, score) of the k best chunks of each question (query_id, question)."""
     valid = chunks.where("metadata.processing_status = 'success'")
-    asked_vectors = asked(questions, embedder or HashEmbedder(), "query_id", "question", "vector")
+    asked_vectors = materialize(asked(questions, embedder or HashEmbedder(), "query_id", "question", "vector"), "question-vectors")
     pool_k = max(10 * k, 50) if hybrid else k
     dense = top_k(asked_vectors, vectors.join(valid.select("chunk_id"), "chunk_id", "left_semi"), pool_k).join(valid.select("chunk_id", "type"), "chunk_id")
+    dense = materialize(dense, "dense-hits")
     if not hybrid:
         return dense.select("query_id", F.col("rank").alias("n"), "chunk_id", "type", "score")
     index = build_index(valid.select("chunk_id", search_text(F.col("content"), F.col("type"), F.col("metadata.image_type")).alias("text")))
     lexical = bm25_top_k(questions.select("query_id", query_tokens(F.col("question")).alias("tokens")), index, max(3 * k, 20)).withColumnRenamed("id", "chunk_id").join(valid.select("chunk_id", "type"), "chunk_id")
+    lexical = materialize(lexical, "lexical-hits")
     return search(questions, valid, dense.where(F.col("rank") <= 2 * k), lexical.where(F.col("rank") <= k), k, dense, lexical)
 
 
