@@ -61,8 +61,11 @@ def skeleton(text: str, with_pairs: bool = True) -> str:
 
 def running_key(line: str) -> str:
     """What recurs of a running line: no added page number, case, spacing or misread character."""
-    line = re.sub(r"^\W*\d{1,4}(?=\s)|(?<=\s)\d{1,4}\W*$", "", line.strip())
-    return " ".join(skeleton(line).split())
+    return " ".join(skeleton(_without_number(line)).split())
+
+
+def _without_number(line: str) -> str:
+    return re.sub(r"^[\W_]*\d{1,4}[\W_]*(?=\s)|(?<=\s)[\W_]*\d{1,4}[\W_]*$", "", line.strip()).strip()
 
 
 class Corrector:
@@ -114,9 +117,9 @@ def edge_lines(text: str, page: int | None, common: frozenset[str]) -> list[tupl
             at.add(i)
     out = []
     for i in sorted(at):
-        line = lines[i].strip()
+        line, bare = lines[i].strip(), _without_number(lines[i])
         words = _LETTERS.findall(line.lower())
-        if not words or len(line) > 120 or line[-1] in ".,;:!?" or line[0] in "|•▪" or "\t" in line or len({w for w in words if w in common}) > 2:
+        if not words or not bare or len(line) > 120 or bare[-1] in ".,;:!?" + BREAK_MARKS or line[0] in "|•▪" or "\t" in line or len({w for w in words if w in common}) > 2:
             continue
         if words and line.count("|") < 2 and not line[0].islower():
             later = sum(n < i for n in numbered if n not in filled[:1] and n > (filled[0] if filled else -1))
