@@ -15,6 +15,9 @@ def spark(tmp_path_factory):
         .config("spark.sql.session.timeZone", "UTC").config("spark.checkpoint.dir", f"file://{folder}/shared").config("spark.sql.warehouse.dir", f"{folder}/warehouse").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
+    from pagewright.plans.shipping import ship
+
+    ship(s)
     s.conf.set("spark.sql.unionOutputPartitioning", "false")
     yield s
     s.stop()
