@@ -121,7 +121,7 @@ def anchor_span(text: Column) -> Column:
 def _span_around(body: Column, best: Column) -> Column:
     pos = F.instr(F.lower(body), F.lower(best["token"]))  # 1-based
     head = F.substring(body, F.lit(1), pos - 1)
-    left = F.length(head) - F.length(F.regexp_extract(head, r"(?s)([^\n.]*)$", 1))
+    left = F.length(head) - F.length(F.regexp_extract(head, r"(?s)([^\n.]*)\z", 1))
     tail = F.regexp_extract(F.substring(body, pos, F.length(body)), r"(?s)^([^\n.]*[\n.]?)", 1)
     raw = F.regexp_replace(F.substring(body, left + 1, pos - 1 - left + F.length(tail)), r"(?U)^\s+|\s+$", "")
     begin = F.greatest(pos - 1 - 60, F.lit(0))
@@ -130,5 +130,19 @@ def _span_around(body: Column, best: Column) -> Column:
     return F.struct(best["token"].alias("anchor"), F.regexp_replace(F.substring(chosen, F.lit(1), F.lit(160)), r"(?U)\s+$", "").alias("span"))
 
 
+def image_anchor_span(text: Column) -> Column:
+    """struct(anchor, span) for text read from an image: the first token with a digit or a capital and what stands around it up to line ends and stops; NULL where there is none."""
+    tokens = F.regexp_extract_all(text, F.lit(r"([A-Za-zА-Яа-я0-9%µμ]{4,})"), F.lit(1))
+    anchor = F.get(F.filter(tokens, lambda t: t.rlike(r"[\d\p{Lu}]")), F.lit(0))
+    at = F.instr(text, anchor)  # 1-based; an earlier place inside a longer token would have made that one the first
+    head = F.substring(text, F.lit(1), at - 1)
+    before = F.regexp_extract(head, r"(?s)([^\n.]*)\z", 1)
+    after = F.regexp_extract(F.substring(text, at + F.length(anchor), F.length(text)), r"(?s)^([^\n.]*)", 1)
+    raw = F.regexp_replace(F.concat(before, anchor, after), r"(?U)^\s+|\s+$", "")
+    begin = F.greatest(at - 1 - 60, F.lit(0))
+    window = F.regexp_replace(F.substring(text, begin + 1, at - 1 + F.length(anchor) + 60 - begin), r"(?U)^\s+|\s+$", "")
+    return F.when(anchor.isNotNull(), F.struct(anchor.alias("anchor"), F.when(F.length(raw) > 240, window).otherwise(raw).alias("span")))
+
+
 #: Tokens that are no anchors.
 ANCHOR_STOP = ["table", "таблица", "figure", "рисунок", "chart", "diagram", "this", "that", "with", "from", "were", "have", "has", "using", "used", "into", "between", "within", "their"]

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from pagewright.functions.predicates import NO_ANSWER_PHRASE, clean_text, judged_well
 from pagewright.functions.sql import is_blank
-from pagewright.functions.text import anchor_span
+from pagewright.functions.text import anchor_span, image_anchor_span
 
 SCORE_COLUMNS = ["faithfulness", "relevancy", "context_precision", "context_recall"]
 #: Questions that no document answers.
@@ -85,6 +85,15 @@ def anchored_questions(chunks: DataFrame, n: int, seed: int = 42) -> DataFrame:
     return taken.select(question.alias("question"), F.lit("overall").alias("slice"), F.lit(True).alias("has_answer"), F.col("a.span").alias("expected_answer"), "doc_id")
 
 
+def image_questions(chunks: DataFrame, n: int, seed: int = 42) -> DataFrame:
+    """Question set rows of the image slice: a phrase in an image by its anchor; a repeated question comes once."""
+    usable = usable_rows(chunks, ["image_ocr", "image_caption"]).withColumn("a", image_anchor_span(F.col("content"))).where("a is not null")
+    question = F.concat(F.lit('In the image, what phrase includes "'), F.col("a.anchor"), F.lit('"?'))
+    once = usable.withColumn("question", question).groupBy("question").agg(F.min_by(F.struct("chunk_id", "doc_id", "a"), "chunk_id").alias("c"))
+    taken = seeded_sample(once.select("question", "c.chunk_id", "c.doc_id", "c.a"), "chunk_id", n, seed)
+    return taken.select("question", F.lit("image").alias("slice"), F.lit(True).alias("has_answer"), F.col("a.span").alias("expected_answer"), "doc_id")
+
+
 def unanswerable_questions(spark_df: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """Up to n of the fixed questions that no document answers; ``spark_df`` only lends its session."""
     rows = spark_df.sparkSession.createDataFrame([(q,) for q in UNANSWERABLE], "question string")

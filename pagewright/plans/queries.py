@@ -500,6 +500,13 @@ def anchored_questions(spark: SparkSession, sf: str) -> DataFrame:
     return evaluation.anchored_questions(latest(spark, sf), 200)
 
 
+@query()
+def question_set(spark: SparkSession, sf: str) -> DataFrame:
+    """A whole question set: anchored text and image questions, and unanswerable ones."""
+    rows = materialize(latest(spark, sf), "latest-chunks")
+    return evaluation.anchored_questions(rows, 100).unionByName(evaluation.image_questions(rows, 50)).unionByName(evaluation.unanswerable_questions(rows, 10))
+
+
 @query("SELECT doc_id FROM documents ORDER BY md5('42|' || doc_id::varchar), doc_id LIMIT 100")
 def deterministic_sample(spark: SparkSession, sf: str) -> DataFrame:
     return evaluation.seeded_sample(table(spark, sf, "documents").select("doc_id"), "doc_id", 100)

@@ -57,12 +57,30 @@ def plain_anchor(text):
 
 
 def test_anchor_span(spark):
-    for t in ("The lens moved. A thermal detector of 120GHz exceeded the limit of the beam line in every run we made. End here.", "short", "x " * 50, "Only tiny words here and the one BEAM9 in it.\nAnother line of text that is long enough to count for the test."):
+    for t in ("The lens moved. A thermal detector of 120GHz exceeded the limit of the beam line in every run we made. End here.", "short", "x " * 50, "A line first that is long enough to be one of its own kind here\nBEAM9 in it and the rest of the line goes on and on here.\nAnother line of text that is long enough to count for the test."):
         got = one(spark, X.anchor_span(F.col("t")), t=t)
         want = plain_anchor(t)
         assert (got is None) == (want is None) and (got is None or (got.anchor, got.span) == want)
 
 
+def plain_image_anchor(text):
+    strong = [m for m in re.finditer(r"[A-Za-zА-Яа-я0-9%µμ]{4,}", text) if any(c.isdigit() or c.isupper() for c in m.group())]
+    if not strong:
+        return None
+    m = strong[0]
+    left = max(text.rfind("\n", 0, m.start()), text.rfind(".", 0, m.start())) + 1
+    right = min([p for p in (text.find("\n", m.end()), text.find(".", m.end())) if p >= 0], default=len(text))
+    span = text[left:right].strip()
+    return m.group(), span if len(span) <= 240 else text[max(0, m.start() - 60) : m.end() + 60].strip()
+
+
+def test_image_anchor_span(spark):
+    for t in ("axis of time\nPower 120kW at start. End", "no strong token", "", "x" * 10 + " " + "word " * 60 + "Label9 " + "word " * 60, "Fig. one"):
+        got = one(spark, X.image_anchor_span(F.col("t")), t=t)
+        want = plain_image_anchor(t)
+        assert (got is None) == (want is None) and (got is None or (got.anchor, got.span) == want)
+
+
 def test_predicates(spark):
     assert one(spark, P.table_question(F.col("q")), q="is it suitable?") is True
     assert one(spark, P.table_question(F.col("q")), q="recall of 5 %") is True and one(spark, P.table_question(F.col("q")), q="recall of it") is False
