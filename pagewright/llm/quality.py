@@ -319,18 +319,25 @@ def learned_kind(chunks: DataFrame, known: list[str], common: list[str], sample_
     return rules_to_sql(induce_rules({f: rows[f].to_numpy(float)[named] for f in FEATURES}, labels[named]))
 
 
+def _with_kind(chunks: DataFrame, lexicon: DataFrame, case: str | None) -> DataFrame:
+    known, common = lexicon_words(lexicon)
+    case = case or learned_kind(chunks, known, common)
+    rows = chunks.where(~is_blank(F.col("content"))).select("chunk_id", "content")
+    return text_statistics(rows, "content", known, common).withColumn("kind", F.expr(case)).drop("content")
+
+
 def chunk_kinds(chunks: DataFrame, lexicon: DataFrame, case: str | None = None) -> DataFrame:
     """(chunk_id, statistics, kind) of every distinct chunk with text.
 
     NULL and blank content is left out; repeated rows come out once; one chunk_id with
     several contents has a row for each. ``type`` is not looked at. Empty tables give no rows.
     """
-    known, common = lexicon_words(lexicon)
-    case = case or learned_kind(chunks, known, common)
-    rows = chunks.where(~is_blank(F.col("content"))).select("chunk_id", "content")
-    return text_statistics(rows, "content", known, common).withColumn("kind", F.expr(case)).drop("content").distinct()
+    return _with_kind(chunks, lexicon, case).distinct()
 
 
 def not_prose(chunks: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """(chunk_id, kind) of the chunks whose content is a table, a list or junk."""
-    return chunk_kinds(chunks, lexicon).where(F.col("kind") != "prose").select("chunk_id", "kind").distinct()
+    """(chunk_id, kind) of the chunks whose content is a table, a list or junk.
+
+    Only the statistics that the learned rules use are computed for all rows.
+    """
+    return _with_kind(chunks, lexicon, None).where(F.col("kind") != "prose").select("chunk_id", "kind").distinct()
