@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from pagewright.functions.predicates import IMAGE_TYPES, image_question, table_question
@@ -31,6 +36,7 @@ class LexicalIndex:
     postings: DataFrame  # term, id, tf, length
     terms: DataFrame  # term, idf
     mean_length: float
+    texts: DataFrame  # id, text
 
 
 def build_index(texts: DataFrame, key: str = "chunk_id", text: str = "text") -> LexicalIndex:
@@ -42,7 +48,7 @@ def build_index(texts: DataFrame, key: str = "chunk_id", text: str = "text") ->
     idf = materialize(df.select("term", (F.log(F.lit(float(n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw")), "terms")
     mean = idf.agg(F.avg("raw")).first()[0] or 0.0
     terms = idf.select("term", F.when(F.col("raw") < 0, EPSILON * mean).otherwise(F.col("raw")).alias("idf"))
-    return LexicalIndex(postings, terms, float(mean_length or 1.0))
+    return LexicalIndex(postings, terms, float(mean_length or 1.0), texts.select(F.col(key).alias("id"), F.col(text).alias("text")).where("text is not null"))
 
 
 def bm25_scores(queries: DataFrame, index: LexicalIndex) -> DataFrame:
@@ -54,8 +60,63 @@ def bm25_scores(queries: DataFrame, index: LexicalIndex) -> DataFrame:
     return weighted.groupBy("query_id", "id").agg(F.sum(part).alias("raw"))
 
 
+#: Questions that are scored at a time, and texts that are multiplied with them at a time.
+QUESTION_BLOCK, TEXT_BLOCK = 512, 512
+#: Unicode whitespace for an engine whose own class is ASCII.
+BLANKS = r"[\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+
+
+def _term_counts(texts: pa.Array, place: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of the wanted terms per text, and the number of words of each text."""
+    lists = pc.split_pattern_regex(texts.cast(pa.large_string()), BLANKS)
+    flat, bounds = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
+    coded = flat.dictionary_encode()
+    named = coded.dictionary.to_pylist()
+    at = np.array([place.get(w, -1) for w in named] or [-1])[coded.indices.to_numpy()] if len(flat) else np.zeros(0, int)
+    filled = np.array([w != "" for w in named] or [False])[coded.indices.to_numpy()] if len(flat) else np.zeros(0, bool)
+    text = np.repeat(np.arange(len(texts)), np.diff(bounds))
+    counts = np.bincount(text[at >= 0] * len(place) + at[at >= 0], minlength=len(texts) * len(place)).reshape(len(texts), len(place))
+    return counts, np.bincount(text[filled], minlength=len(texts))
+
+
 def bm25_top_k(queries: DataFrame, index: LexicalIndex, k: int) -> DataFrame:
-    """(query_id, id, score, rank): the k best of positive score, scores over ten cut to one, ties by id."""
-    raw = bm25_scores(queries, index)
+    """(query_id, id, score, rank): the k best of positive score, scores over ten cut to one, ties by id.
+
+    A block of questions with the idf of their terms goes to the executors and is multiplied
+    with blocks of texts, so that a frequent term costs no row per question and text; each
+    block of texts keeps the k best per question, and only those are shuffled.
+    """
+    kinds = queries.schema["query_id"].dataType.simpleString(), index.texts.schema["id"].dataType.simpleString()
+    n_blocks = max(1, -(-queries.count() // QUESTION_BLOCK))
+    blocks = queries.withColumn("block", F.ntile(n_blocks).over(W.orderBy("query_id")) if n_blocks > 1 else F.lit(1))
+    asked = blocks.select("block", "query_id", F.explode("tokens").alias("term")).groupBy("block", "query_id", "term").agg(F.count("*").alias("times"))
+    asked = materialize(asked.join(index.terms, "term").select("block", "query_id", "term", (F.col("times") * F.col("idf")).alias("weight")), "asked-terms")
+    mean_length, parts = index.mean_length, None
+    for block in range(1, n_blocks + 1):
+        taken = asked.where(F.col("block") == block).toPandas()
+        terms, of_term = np.unique(taken["term"].to_numpy(str), return_inverse=True) if len(taken) else (np.zeros(0, str), np.zeros(0, int))
+        codes, names = pd.factorize(taken["query_id"])
+        weights = np.zeros((len(terms), len(names)))
+        np.add.at(weights, (of_term, codes), taken["weight"].to_numpy(float))
+        place = {t: i for i, t in enumerate(terms.tolist())}
+        ids = pa.array(names.tolist() if len(names) else [], queries_type(kinds[0]))
+
+        def run(batches: Iterator[pa.RecordBatch], place: dict[str, int] = place, weights: np.ndarray = weights, ids: pa.Array = ids) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for begin in range(0, batch.num_rows if place else 0, TEXT_BLOCK):
+                    part = batch.slice(begin, TEXT_BLOCK)
+                    counts, lengths = _term_counts(part.column(1), place)
+                    raw = (counts * (K1 + 1) / (counts + (K1 * (1 - B + B * lengths / mean_length))[:, None])) @ weights
+                    least = np.partition(raw, -k, axis=0)[-k] if len(raw) > k else np.zeros(raw.shape[1])
+                    row, q = np.nonzero((raw >= least - 1e-5) & (raw > 0))
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), part.column(0).take(pa.array(row)), pa.array(raw[row, q])], ["query_id", "id", "raw"])
+
+        scored = index.texts.mapInArrow(run, f"query_id {kinds[0]}, id {kinds[1]}, raw double")
+        parts = scored if parts is None else parts.unionByName(scored)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.round("raw", 6).desc(), "id"))
-    return raw.withColumn("rank", rank).where((F.col("rank") <= k) & (F.col("raw") > 0)).select("query_id", "id", F.least(F.col("raw") / 10, F.lit(1.0)).alias("score"), "rank")
+    return parts.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "id", F.least(F.col("raw") / 10, F.lit(1.0)).alias("score"), "rank")
+
+
+def queries_type(kind: str) -> pa.DataType:
+    """The Arrow type of a key column."""
+    return {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}[kind]
