@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+from functools import cache
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from pagewright.functions.predicates import NO_ANSWER_PHRASE, clean_text, judged_well
@@ -116,3 +121,90 @@ def distinct_questions(dataset: DataFrame, order: str) -> DataFrame:
 def usable_rows(chunks: DataFrame, types: list[str]) -> DataFrame:
     """Successful chunks of the types with text: the ground of a slice."""
     return chunks.where(F.col("type").isin(types) & (F.col("metadata.processing_status") == "success") & ~is_blank(F.col("content")))
+
+
+# --- answers in contents -------------------------------------------------------------------------
+
+#: Answers and contents of one document that are held against each other at a time.
+ANSWER_BLOCK, CONTENT_BLOCK = 8_192, 2_048
+#: Characters that are in no token, whatever the engine's notion of a letter.
+_NO_TOKEN = re.compile(r"[\s!-/:-@\[-^`{-~]+")
+
+
+def _containing(contents: list[str]) -> Callable[[str], int]:
+    """From a token without blanks or marks to the contents that have it anywhere, as a bit set."""
+    of_word: dict[str, int] = {}
+    for i, text in enumerate(contents):
+        for w in set(_NO_TOKEN.split(text)):
+            of_word[w] = of_word.get(w, 0) | 1 << i
+    of_gram: dict[str, set[str]] = {}
+    for w in of_word:
+        for n in range(1, 5):
+            for j in range(len(w) - n + 1):
+                of_gram.setdefault(w[j : j + n], set()).add(w)
+
+    @cache
+    def find(token: str) -> int:
+        grams = [token[j : j + 4] for j in range(max(1, len(token) - 3))]
+        bits = 0
+        for w in min((of_gram.get(g, ()) for g in grams), key=len):
+            if token in w:
+                bits |= of_word[w]
+        return bits
+
+    return find
+
+
+def _matches(answers: list[tuple[str, list[str]]], contents: list[str]) -> list[tuple[int, int]]:
+    """(strict, loose) of each answer: contents that have it verbatim, and those that have it so or two of its long tokens."""
+    find, everything = _containing(contents), (1 << len(contents)) - 1
+
+    @cache
+    def hits(text: str, tokens: tuple[str, ...]) -> tuple[int, int]:
+        verbatim, one, two = everything if text else 0, 0, 0
+        for t in tokens:
+            bits = find(t) if t else everything
+            verbatim &= bits
+            if len(t) > 3:
+                two |= one & bits
+                one |= bits
+        left = verbatim
+        if tokens != (text,):
+            while left:
+                low = left & -left
+                if text not in contents[low.bit_length() - 1]:
+                    verbatim ^= low
+                left ^= low
+        return verbatim.bit_count(), (verbatim | two).bit_count()
+
+    return [hits(text, tuple(tokens)) for text, tokens in answers]
+
+
+def answers_in_contents(answers: DataFrame, contents: DataFrame) -> DataFrame:
+    """(entry_id, strict, loose): in how many contents of its document each answer is found.
+
+    Counts what ``predicates.answer_in_content`` says of every answer (entry_id, doc_id,
+    answer) and every content (chunk_id, doc_id, content) of the same document; entries without a
+    content are left out. Blocks of answers meet blocks of contents, so no task holds a
+    document; in a block each token is looked up once and the answers combine bit sets.
+    """
+    a = answers.select("entry_id", "doc_id", F.trim("answer").alias("text")).where("doc_id is not null and text is not null").distinct()
+    c = contents.select("chunk_id", "doc_id", "content").where("doc_id is not null and content is not null")
+    # Documents of more than one block: at most one per so many rows, so they are broadcast and the texts are shuffled once.
+    blocks = lambda rows, name, size: F.broadcast(rows.groupBy("doc_id").agg(F.ceil(F.count("*") / size).cast("int").alias(name)).where(F.col(name) > 1))
+    large = blocks(a, "answer_blocks", ANSWER_BLOCK), blocks(c, "content_blocks", CONTENT_BLOCK)
+    number = lambda rows, blocks: F.pmod(F.xxhash64(*rows.columns), F.coalesce(blocks, F.lit(1))).cast("int")
+    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.coalesce(blocks, F.lit(1)) - 1))
+    keys = ["doc_id", "answer_block", "content_block"]
+    placed = lambda rows: rows.join(large[0], "doc_id", "left").join(large[1], "doc_id", "left")
+    a = placed(a).withColumn("answer_block", number(a, F.col("answer_blocks"))).withColumn("content_block", every(F.col("content_blocks")))
+    c = placed(c).withColumn("content_block", number(c, F.col("content_blocks"))).withColumn("answer_block", every(F.col("answer_blocks")))
+    a = a.withColumn("text", F.lower("text")).select(*keys, "entry_id", "text", F.split("text", r"(?U)\W+").alias("tokens"))
+    c = c.select(*keys, F.lower("content").alias("content"))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = _matches(list(zip(left["text"].to_pylist(), left["tokens"].to_pylist())), right["content"].to_pylist()) if left.num_rows and right.num_rows else []
+        return pa.table({"entry_id": left["entry_id"] if found else pa.array([], pa.int64()), "strict": pa.array([x for x, _ in found], pa.int64()), "loose": pa.array([x for _, x in found], pa.int64())})
+
+    parts = a.groupBy(keys).cogroup(c.groupBy(keys)).applyInArrow(run, "entry_id bigint, strict bigint, loose bigint")
+    return parts.groupBy("entry_id").agg(F.sum("strict").alias("strict"), F.sum("loose").alias("loose"))

@@ -482,11 +482,9 @@ def expected_answers(spark: SparkSession, sf: str) -> DataFrame:
 h AS (SELECT entry_id, length(e) > 0 AND contains(lower(content), lower(e)) AS verbatim, len(list_filter(string_split_regex(lower(e), '{NOT_W}+'), lambda t: length(t) > 3 AND contains(lower(content), t))) >= 2 AS two FROM a JOIN good g USING (doc_id, page))
 SELECT entry_id, count_if(verbatim) AS strict, count_if(verbatim OR two) AS loose FROM h GROUP BY entry_id""")
 def answer_in_content(spark: SparkSession, sf: str) -> DataFrame:
-    """Answers against the chunks of one page of their document (by entry_id), so that no document pairs all its answers with all its chunks."""
-    a = table(spark, sf, "dataset").where("doc_id is not null and has_answer and expected_answer is not null").select("entry_id", "doc_id", (F.col("entry_id") % 16 + 1).cast("int").alias("page"), "expected_answer").distinct()
-    rows = a.join(good(spark, sf).select("doc_id", "page", "content"), ["doc_id", "page"])
-    hit = lambda strict: F.count_if(P.answer_in_content(F.col("expected_answer"), F.col("content"), strict))
-    return rows.groupBy("entry_id").agg(hit(True).alias("strict"), hit(False).alias("loose"))
+    """Answers against all chunks of their document."""
+    a = table(spark, sf, "dataset").where("doc_id is not null and has_answer and expected_answer is not null").select("entry_id", "doc_id", F.col("expected_answer").alias("answer"))
+    return evaluation.answers_in_contents(a, good(spark, sf))
 
 
 @query(f"""WITH {SQL_LATEST} SELECT chunk_id FROM latest WHERE metadata.processing_status = 'success' AND {SQL_TYPE} = 'text' AND NOT contains(lower(content), 'unreadable') AND length({sql_strip('content')}) >= 200
