@@ -105,8 +105,8 @@ def is_page_number(line: str, page: int | None) -> bool:
     return abs(int(m.group(1)) - page) <= 1 if page is not None else bool(_DECORATED.search(line.strip()))
 
 
-def edge_lines(text: str, page: int | None, common: frozenset[str]) -> list[tuple[int, int, str]]:
-    """(line number, pages after the chunk's own, line) that may be running lines: at the edges of a page and not part of a sentence."""
+def candidate_lines(text: str, page: int | None, common: frozenset[str]) -> list[tuple[int, int, str, bool]]:
+    """(line number, pages after the chunk's own, line, at an edge) that may be running lines: not part of a sentence."""
     lines = text.replace("\r\n", "\n").replace("\r", "\n").split("\n")
     filled = [i for i, x in enumerate(lines) if x.strip() and not is_page_number(x, page)]
     numbered = [i for i, x in enumerate(lines) if is_page_number(x, page)]
@@ -116,17 +116,22 @@ def edge_lines(text: str, page: int | None, common: frozenset[str]) -> list[tupl
         if any(0 < abs(i - n) <= 2 for n in numbered) or (i and not lines[i - 1].strip()) or (i + 1 < len(lines) and not lines[i + 1].strip()):
             at.add(i)
     out = []
-    for i in sorted(at):
+    for i in filled:
         line, bare = lines[i].strip(), _without_number(lines[i])
         words = _LETTERS.findall(line.lower())
         if not words or not bare or len(line) > 120 or bare[-1] in ".,;:!?" + BREAK_MARKS or line[0] in "|•▪" or "\t" in line or len({w for w in words if w in common}) > 2:
             continue
         if words and line.count("|") < 2 and not line[0].islower():
             later = sum(n < i for n in numbered if n not in filled[:1] and n > (filled[0] if filled else -1))
-            out.append((i, min(later, 1), line))
+            out.append((i, min(later, 1), line, i in at))
     return out
 
 
+def edge_lines(text: str, page: int | None, common: frozenset[str]) -> list[tuple[int, int, str]]:
+    """(line number, pages after the chunk's own, line) of the candidates at the edges of a page."""
+    return [(i, later, line) for i, later, line, edge in candidate_lines(text, page, common) if edge]
+
+
 def _unknown(body: str, corrector: Corrector) -> tuple[list[tuple[re.Match[str], str]], list[tuple[re.Match[str], re.Match[str], str]]]:
     """Words outside the lexicon with their lower-cased form, and neighbours in a line that make one word of it without the space."""
     words, before, before_known, before_word = corrector.words, None, True, ""
@@ -174,18 +179,20 @@ def corpus_vocabulary(chunks: DataFrame) -> DataFrame:
 def running_lines(chunks: DataFrame, common: list[str]) -> DataFrame:
     """(chunk_id, content_hash, line_no) of lines that recur on at least ``LEAST_PAGES`` pages of their document.
 
-    All recognised chunks of a document count as witnesses, whatever their confidence.
+    All recognised chunks of a document count as witnesses, whatever their confidence. Lines
+    at the edges are the witnesses of recurrence; every line with a key that recurs there is
+    marked, as a page may change anywhere inside a chunk.
     """
     witnesses = chunks.where("metadata.ocr_confidence is not null and content is not null and chunk_id is not null").select("doc_id", "page", "chunk_id", "content")
     common_set = frozenset(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(doc, None if page is None else page + later, chunk, no, running_key(line), h) for doc, page, chunk, text, h in zip(*(batch.column(i).to_pylist() for i in range(5))) for no, later, line in edge_lines(text, page, common_set)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 6, (pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.int64()))], ["doc_id", "page", "chunk_id", "line_no", "running_key", "content_hash"])
+            rows = [(doc, None if page is None else page + later, chunk, no, running_key(line), h, edge) for doc, page, chunk, text, h in zip(*(batch.column(i).to_pylist() for i in range(5))) for no, later, line, edge in candidate_lines(text, page, common_set)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 7, (pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.int64(), pa.bool_()))], ["doc_id", "page", "chunk_id", "line_no", "running_key", "content_hash", "edge"])
 
-    lines = witnesses.withColumn("content_hash", F.xxhash64("content")).mapInArrow(run, "doc_id string, page int, chunk_id string, line_no int, running_key string, content_hash bigint").where("length(running_key) >= 4")
-    recurring = lines.select("doc_id", "running_key", "page").distinct().groupBy("doc_id", "running_key").agg(F.count("page").alias("pages")).where(F.col("pages") >= LEAST_PAGES)
+    lines = witnesses.withColumn("content_hash", F.xxhash64("content")).mapInArrow(run, "doc_id string, page int, chunk_id string, line_no int, running_key string, content_hash bigint, edge boolean").where("length(running_key) >= 4")
+    recurring = lines.where("edge").select("doc_id", "running_key", "page").distinct().groupBy("doc_id", "running_key").agg(F.count("page").alias("pages")).where(F.col("pages") >= LEAST_PAGES)
     return lines.join(recurring, ["doc_id", "running_key"], "left_semi").select("chunk_id", "content_hash", "line_no").distinct()
 
 
