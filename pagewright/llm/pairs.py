@@ -255,13 +255,15 @@ def defective_pairs(dataset: DataFrame, lexicon: DataFrame) -> DataFrame:
     vocabulary = inner.unionByName(lexicon.where("word is not null").select(F.lower("word").alias("word"))).distinct()
     begun = vocabulary.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substring(F.col("word"), F.lit(1), i))).alias("last_word")).where("last_word <> ''").distinct() if known else vocabulary.select(F.col("word").alias("last_word"))
     open_words = judged.where("last_word is not null").select("last_word").distinct()
-    parts = open_words.join(vocabulary, F.col("last_word") == F.col("word"), "left_anti").join(begun, "last_word", "left_semi").withColumn("part", F.lit(True))
+    unknown = open_words.join(vocabulary, F.col("last_word") == F.col("word"), "left_anti")
+    parts = unknown.join(begun.withColumn("part", F.lit(True)), "last_word", "left").withColumn("unknown", F.lit(True))
     shortened = shortened_versions(told.select(F.rtrim(F.regexp_replace("answer", r"(?:\.{2,}|…)+\s*$", "")).alias("text"))).where("cut_inside_word").select(F.col("text").alias("cut_text")).distinct()
     spikes = length_spikes(told).withColumn("spike", F.lit(True))
     open_end = ~F.col("answer").rlike(r"[.!?»”\")]\s*$")
     judged = judged.join(parts, "last_word", "left").join(shortened, (F.rtrim("answer") == F.col("cut_text")), "left").join(spikes, F.length("answer") == F.col("n_chars"), "left")
     inside = F.coalesce("part", F.lit(False)) | (F.col("cut_text").isNotNull() & open_end)
-    at_limit = F.coalesce("spike", F.lit(False)) & open_end & F.col("last_word").isNotNull() & F.coalesce("part", F.lit(False))
+    # At a length limit an unknown last word is broken even if nothing longer begins so.
+    at_limit = F.coalesce("spike", F.lit(False)) & open_end & F.coalesce("unknown", F.lit(False))
     truncated = ~F.col("copied") & ~F.col("refusal") & (F.col("broken") | inside | at_limit)
     defects = F.array_compact(F.array(F.when(F.col("copied"), "copied_question"), F.when(F.col("refusal"), "refusal"), F.when(truncated, "truncated_answer"), F.when(F.col("foreign"), "other_language")))
     found = judged.select("entry_id", F.explode(defects).alias("defect"))
