@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -42,66 +42,62 @@ def _tail(text: str, n: int) -> str:
     return " ".join(words[-n:]) if len(words) > n else text
 
 
-def _long_sentence(text: str, budget: int, overlap: int) -> list[str]:
-    words, size, step = text.split(), int(budget / 1.3), int(budget / 1.3) - int(overlap / 1.3)
-    out, at = [], 0
-    while at < len(words):
-        out.append(" ".join(words[at : at + size]))
-        if at + size >= len(words):
-            break
-        at += step
-    return out
+def _packed(units: list[str], most: int, budget: int, joiner: str, carry: Callable[[str], str], cut: Callable[[str], Iterator[str]]) -> Iterator[str]:
+    """Units packed in order while their estimates, each rounded down, add up to the budget.
 
-
-def _split_paragraph(text: str, budget: int, overlap: int) -> list[str]:
-    parts = [p for p in _SENTENCE.split(text) if p.strip()]
-    if len(parts) <= 1:
-        parts = [p for p in text.split("\n") if p.strip()]
-    out: list[str] = []
+    A new piece begins with what ``carry`` keeps of the last unit before it, and counts that
+    and its first unit as one text. A unit over ``most`` ends the piece and goes through ``cut``;
+    nothing is carried over it.
+    """
     held: list[str] = []
-    for part in parts:
-        if estimate(part) > budget:
+    total = 0
+    for unit in filter(None, map(str.strip, units)):
+        n = estimate(unit)
+        if n > most or (held and total + n > budget):
             if held:
-                out.append(" ".join(held))
-                held = []
-            out += _long_sentence(part, budget, overlap)
-        elif held and estimate(" ".join(held)) + estimate(part) > budget:
-            out.append(" ".join(held))
-            held = [held[-1], part] if overlap else [part]
+                yield joiner.join(held)
+            held = [x for x in (carry(held[-1]),) if x] if held and n <= most else []
+            if n > most:
+                yield from cut(unit)
+                total = 0
+                continue
+            held.append(unit)
+            total = estimate(joiner.join(held))
         else:
-            held.append(part)
-    return out + [" ".join(held)] if held else out
+            held.append(unit)
+            total += n
+    if held:
+        yield joiner.join(held)
+
+
+def _word_pieces(text: str, budget: int, overlap: int) -> Iterator[str]:
+    words, size = text.split(), max(1, int(budget / 1.3))
+    step = max(1, size - int(overlap / 1.3))
+    for at in range(0, max(1, len(words) - size + step), step):
+        yield " ".join(words[at : at + size])
+
+
+def _sentence_pieces(text: str, size: int, budget: int, overlap: int) -> Iterator[str]:
+    """An oversized paragraph by sentences (by lines where it is one sentence); the last sentence is repeated in the next piece."""
+    parts = _SENTENCE.split(text)
+    if len(parts) == 1 and estimate(text) > size:
+        parts = text.split("\n")
+    return _packed(parts, budget, budget, " ", (lambda last: last) if overlap else (lambda last: ""), lambda s: _word_pieces(s, budget, overlap))
 
 
 def fold_text(text: str, size: int = 400, overlap: int = 50) -> list[str]:
-    """Chunks of one text: paragraphs are packed while they fit; an oversized one is cut by sentences.
+    """Chunks of one text: paragraphs are packed while they fit, oversized ones are cut by sentences.
 
-    A new chunk begins with the last words of the one before, except after an oversized
-    paragraph.
+    A text without a blank line that is over the size is taken by lines, which are joined by
+    one line end again. A new chunk begins with the last words of the one before, except after
+    an oversized paragraph; an overlap of 0 repeats nothing.
     """
     budget = size - overlap - int(0.05 * size)
-    paragraphs = [p.strip() for p in _PARAGRAPH.split(text) if p.strip()]
-    if len(paragraphs) == 1 and estimate(paragraphs[0]) > size:
-        paragraphs = [p.strip() for p in text.split("\n") if p.strip()]
-    out: list[str] = []
-    held: list[str] = []
-    total = 0
-    for p in paragraphs:
-        n = estimate(p)
-        if n > size:
-            if held:
-                out.append("\n\n".join(held))
-            out += _split_paragraph(p, budget, overlap)
-            held, total = [], 0
-        elif held and total + n > budget:
-            out.append("\n\n".join(held))
-            before = _tail(held[-1], int(overlap / 1.3)) if overlap else ""
-            held = [before, p] if before else [p]
-            total = estimate(before) + n
-        else:
-            held.append(p)
-            total += n
-    return out + ["\n\n".join(held)] if held else out
+    units, joiner = _PARAGRAPH.split(text), "\n\n"
+    if len(units) == 1 and estimate(text) > size:
+        units, joiner = text.split("\n"), "\n"
+    keep = int(overlap / 1.3)
+    return list(_packed(units, size, budget, joiner, lambda last: _tail(last, keep) if keep else "", lambda p: _sentence_pieces(p, size, budget, overlap)))
 
 
 def chunk_texts(elements: DataFrame, size: int = 400, overlap: int = 50) -> DataFrame:

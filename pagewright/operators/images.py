@@ -11,43 +11,65 @@ from pyspark.sql.functions import pandas_udf
 
 from pagewright.functions.predicates import ocr_blank, ocr_catastrophic, ocr_failed, tiny_image, uniform_image
 
-FEATURES = "width int, height int, diversity double, contrast double, edge_ratio double, line_density double, entropy double, deviation double, ahash string"
+#: ``least_side`` is the shorter side of the image as it is classified, at most 512 pixels long.
+FEATURES = "width int, height int, least_side int, diversity double, contrast double, edge_ratio double, line_density double, entropy double, deviation double, ahash string"
+#: Fixed values of the classification: longest side, pixels looked at for edges, and steps of gray that make an edge and a line.
+LONGEST, SAMPLED, EDGE, LINE, PEAK = 512, 5000, 30, 50, 0.3
 
 
-def _box(a: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Mean over boxes: a plain down- or upscaling."""
-    rows = np.minimum((np.arange(height + 1) * a.shape[0]) // height, a.shape[0])
-    cols = np.minimum((np.arange(width + 1) * a.shape[1]) // width, a.shape[1])
-    if a.shape[0] < height or a.shape[1] < width:
-        return a[np.minimum(np.arange(height) * a.shape[0] // height, a.shape[0] - 1)][:, np.minimum(np.arange(width) * a.shape[1] // width, a.shape[1] - 1)]
-    total = np.add.reduceat(np.add.reduceat(a, rows[:-1], 0), cols[:-1], 1)
-    return total / np.outer(np.diff(rows), np.diff(cols))
+def _weights(size: int, old: int, reach: float) -> np.ndarray:
+    """Weights (size x old) of a triangle filter that widens with the reduction, so that every pixel counts."""
+    scale = old / size
+    wide = max(scale, 1.0)
+    centre = (np.arange(size) + 0.5) * scale
+    away = np.abs((np.arange(old)[None, :] + 0.5 - centre[:, None]) / wide)
+    if reach == 1.0:
+        w = np.maximum(1.0 - away, 0.0)
+    else:  # a cubic with a = -0.5
+        w = np.where(away < 1, (1.5 * away - 2.5) * away**2 + 1, np.where(away < 2, ((-0.5 * away + 2.5) * away - 4) * away + 2, 0.0))
+    return w / w.sum(1, keepdims=True)
+
+
+def resized(gray: np.ndarray, height: int, width: int, reach: float = 1.0) -> np.ndarray:
+    """Antialiased scaling, linear (reach 1) or cubic (reach 2), along rows first; gray steps are whole in between."""
+    whole = lambda a: np.clip(np.floor(a + 0.5), 0, 255)
+    across = whole(gray @ _weights(width, gray.shape[1], reach).T) if gray.shape[1] != width else gray
+    return whole(_weights(height, gray.shape[0], reach) @ across) if gray.shape[0] != height else across
 
 
 def gray_features(gray: np.ndarray) -> tuple:
-    """Features of a gray image (height x width of 0..255)."""
+    """Features of a gray image (height x width of 0..255).
+
+    Edges and lines are counted over every so many-th pixel inside the border, at most about
+    ``SAMPLED`` of them: a pixel is an edge if it differs from its left or upper neighbour.
+    """
     height, width = gray.shape
-    small = gray if max(height, width) <= 512 else _box(gray, max(1, height * 512 // max(height, width)), max(1, width * 512 // max(height, width)))
-    small = np.rint(small)
-    across, down = np.abs(np.diff(small, axis=1)), np.abs(np.diff(small, axis=0))
-    n = across.size + down.size
-    edges = ((across > 30).sum() + (down > 30).sum()) / n if n else 0.0
-    peaks = 0
-    for profile in (down > 50).mean(1) if down.size else (), (across > 50).mean(0) if across.size else ():
-        peaks += sum(p > 0.3 for p in profile)
-    square = np.rint(_box(gray, 128, 128))
+    small = gray
+    if max(height, width) > LONGEST:
+        ratio = LONGEST / max(height, width)
+        small = resized(gray, max(1, int(height * ratio)), max(1, int(width * ratio)))
+    h, w = small.shape
+    at = np.arange(0, h * w, max(1, h * w // min(SAMPLED, h * w)))
+    x, y = at % w, at // w
+    inside = (x > 0) & (x < w - 1) & (y > 0) & (y < h - 1)
+    x, y = x[inside], y[inside]
+    across, down = np.abs(small[y, x] - small[y, x - 1]), np.abs(small[y, x] - small[y - 1, x])
+    n = len(x)
+    edges = float(((across > EDGE) | (down > EDGE)).sum() / n) if n else 0.0
+    peaks = (np.bincount(y[down > LINE], minlength=h) > n / h * PEAK).sum() + (np.bincount(x[across > LINE], minlength=w) > n / w * PEAK).sum()
+    square = resized(gray, 128, 128, 2.0)
     share = np.bincount(square.astype(int).ravel(), minlength=256) / square.size
     entropy = -sum(p * math.log2(p) for p in share if p > 0)
-    cells = _box(gray, 8, 8).ravel()
+    cells = resized(gray, 8, 8, 2.0).ravel()
     bits = "".join("1" if c >= cells.mean() else "0" for c in cells)
-    return width, height, len(np.unique(small)) / 256, float(small.std()) / 255, float(edges), peaks / max(1, sum(small.shape)), float(entropy), float(square.std()), f"{int(bits, 2):016x}"
+    return width, height, min(h, w), len(np.unique(small)) / 256, float(small.std()) / 255, edges, float(peaks / (h + w)), float(entropy), float(square.std()), f"{int(bits, 2):016x}"
 
 
 def _feature_frame(width: pd.Series, height: pd.Series, pixels: pd.Series) -> pd.DataFrame:
     rows = []
     for w, h, p in zip(width, height, pixels):
         ok = p is not None and w and h and len(p) == int(w) * int(h)
-        rows.append(gray_features(np.frombuffer(p, np.uint8).reshape(int(h), int(w)).astype(float)) if ok else (None,) * 9)
+        rows.append(gray_features(np.frombuffer(p, np.uint8).reshape(int(h), int(w)).astype(float)) if ok else (None,) * 10)
     return pd.DataFrame(rows, columns=[x.split(" ")[0] for x in FEATURES.split(", ")])
 
 
@@ -60,7 +82,7 @@ def image_class(f: Column) -> Column:
     """An ordered list of rules over the features; chart by default and without features."""
     d, c, e, n = f["diversity"], f["contrast"], f["edge_ratio"], f["line_density"]
     return (
-        F.when(F.greatest(f["width"], f["height"]) < 20, "text_scan")
+        F.when(f["least_side"] < 20, "text_scan")
         .when((d < 0.08) & (e < 0.15) & (c > 0.3), "text_scan")
         .when((d < 0.12) & (e >= 0.15) & (e < 0.30) & (n > 0.1), "table_scan")
         .when(d >= 0.35, "photo")

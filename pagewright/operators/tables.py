@@ -53,29 +53,33 @@ def attach_captions(tables: DataFrame, captions: DataFrame) -> DataFrame:
     return joined.withColumn("content", new).drop("caption")
 
 
-def header_lines(lines: Column) -> Column:
-    """Of the first two lines those without a digit in their first 20 characters, else the first."""
-    plain = F.filter(F.slice(lines, 1, 2), lambda x: ~F.substring(x, 1, 20).rlike(r"\d"))
-    return F.when(F.size(plain) > 0, plain).otherwise(F.slice(lines, 1, 1))
+def header_flags(lines: Column) -> Column:
+    """Booleans of the first two lines: whether they are the header, having no digit in their first 20 characters; the first line is one where neither is."""
+    plain = F.transform(F.slice(lines, 1, 2), lambda x: ~F.substring(x, 1, 20).rlike(r"\p{Nd}"))
+    return F.when(F.exists(plain, lambda x: x), plain).otherwise(F.transform(plain, lambda _, i: i == 0))
 
 
-def split_table(text: Column, max_tokens: int = 200) -> Column:
-    """Pieces of a markdown table of at most about ``max_tokens`` (a fourth of the characters), the header repeated in each.
+def split_table(text: Column, max_tokens: int = 400) -> Column:
+    """Pieces of a markdown table of at most about ``max_tokens``, the header repeated in each.
 
-    A table that is all header comes out as one piece, so nothing is lost.
+    Tokens are a fourth of the characters, rounded down for each line. Lines are held by
+    their place, so a later row that equals the header stays; a single row over the limit
+    makes a piece of its own. A table that is all header comes out as one piece. NULL gives NULL.
+    The fold keeps only where pieces begin, and each line is copied once.
     """
-    lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
-    head = header_lines(lines)
-    head_text = F.array_join(head, "\n")
-    body = F.filter(F.slice(lines, F.lit(1), F.greatest(F.size(lines), F.lit(1))), lambda x: ~F.array_contains(head, x))
-    budget = F.lit(max_tokens * 4)
-    empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
-
-    def add(acc: Column, line: Column) -> Column:
-        grown = F.when(acc["open"] == "", F.concat(head_text, F.lit("\n"), line)).otherwise(F.concat(acc["open"], F.lit("\n"), line))
-        full = (acc["open"] != "") & (F.length(grown) > budget)
-        return F.struct(F.when(full, F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"]).alias("done"), F.when(full, F.concat(head_text, F.lit("\n"), line)).otherwise(grown).alias("open"))
-
-    folded = F.aggregate(body, empty, add)
-    pieces = F.concat(folded["done"], F.filter(F.array(folded["open"]), lambda x: x != ""))
-    return F.when(F.length(text) <= budget, F.array(text)).when(F.size(pieces) > 0, pieces).otherwise(F.array(head_text))
+    lines = F.split(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""), "\n")
+    flags = header_flags(lines)
+    is_head = lambda i: F.coalesce(F.get(flags, i), F.lit(False))
+    head = F.array_join(F.filter(lines, lambda _, i: is_head(i)), "\n")
+    body = F.filter(lines, lambda _, i: ~is_head(i))
+    tokens = lambda x: F.floor(F.length(x) / 4).cast("int")
+    start = F.struct(F.array().cast("array<int>").alias("begins"), F.lit(0).alias("at"), tokens(head).alias("total"))
+
+    def add(acc: Column, n: Column) -> Column:
+        new = (acc["at"] == 0) | (acc["total"] + n > max_tokens)
+        return F.struct(F.when(new, F.concat(acc["begins"], F.array(acc["at"]))).otherwise(acc["begins"]).alias("begins"), (acc["at"] + 1).alias("at"), (F.when(new, tokens(head)).otherwise(acc["total"]) + n).alias("total"))
+
+    begins = F.aggregate(F.transform(body, tokens), start, add)["begins"]
+    ends = F.concat(F.slice(begins, F.lit(2), F.size(begins)), F.array(F.size(body)))
+    pieces = F.zip_with(begins, ends, lambda a, b: F.concat(head, F.lit("\n"), F.array_join(F.slice(body, a + 1, b - a), "\n")))
+    return F.when(text.isNull(), F.lit(None).cast("array<string>")).when(tokens(text) <= max_tokens, F.array(text)).when(F.size(begins) > 0, pieces).otherwise(F.array(head))

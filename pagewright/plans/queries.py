@@ -238,11 +238,36 @@ def long_text_windows(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").where("text is not null").select("doc_id", F.posexplode(chunking.word_windows(F.col("text"))).alias("window_no", "t")).select("doc_id", "window_no", F.md5("t").alias("hash"))
 
 
-@query()
+def sql_fold(name: str, units: str, most: int, kept: str) -> str:
+    """Recursive tables ``{name}_f`` and ``{name}``: greedy packing of ``units`` (id, joiner, i, t, w, n) within 330; ``kept`` is how many words of the last unit are carried over."""
+    return f"""{name}_f AS (SELECT id, i, w, n > {most} AS over, 1 AS piece, CASE WHEN n > {most} THEN 0 ELSE n END AS total, 0 AS carried FROM {units} WHERE i = 1
+ UNION ALL SELECT u.id, u.i, u.w, u.n > {most}, piece + CASE WHEN u.n > {most} OR f.over OR f.total + u.n > 330 THEN 1 ELSE 0 END, CASE WHEN u.n > {most} THEN 0 WHEN f.over THEN u.n WHEN f.total + u.n > 330 THEN floor(({kept} + u.w) * 1.3::double)::bigint ELSE f.total + u.n END,
+  CASE WHEN u.n > {most} OR f.over OR f.total + u.n <= 330 THEN 0 ELSE {kept} END FROM {name}_f f JOIN {units} u ON u.id = f.id AND u.i = f.i + 1),
+{name}_l AS (SELECT f.id, min(f.i) AS first_i, any_value(u.joiner) AS joiner, list(CASE WHEN carried > 0 THEN CASE WHEN carried < b.w THEN array_to_string({sql_words('b.t')}[-carried:], ' ') ELSE b.t END || u.joiner ELSE '' END || u.t ORDER BY f.i) AS parts FROM {name}_f f JOIN {units} u ON u.id = f.id AND u.i = f.i LEFT JOIN {units} b ON b.id = f.id AND b.i = f.i - 1 WHERE NOT f.over GROUP BY f.id, f.piece),
+{name} AS (SELECT id, first_i, CASE WHEN joiner = ' ' THEN array_to_string(parts, ' ') WHEN joiner = chr(10) THEN array_to_string(parts, chr(10)) ELSE array_to_string(parts, chr(10) || chr(10)) END AS piece FROM {name}_l)"""
+
+
+SQL_COUNTED = f"len({sql_words('t')}) AS w, floor(len({sql_words('t')}) * 1.3::double)::bigint AS n"
+
+
+@query(f"""WITH RECURSIVE d AS (SELECT doc_id, text, string_split_regex(text, '\\n{S}*\\n') AS ps FROM documents WHERE regexp_matches(text, '[^\\t\\n\\x0B\\f\\r \\x{{85}}\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]')),
+m AS (SELECT *, len(ps) = 1 AND floor(len({sql_words('text')}) * 1.3::double) > 400 AS lines FROM d),
+x AS (SELECT doc_id, lines, list_filter(list_transform(CASE WHEN lines THEN string_split(text, chr(10)) ELSE ps END, lambda x: {sql_strip('x')}), lambda x: x <> '') AS us FROM m),
+pu AS (SELECT id, joiner, i, t, {SQL_COUNTED} FROM (SELECT doc_id AS id, CASE WHEN lines THEN chr(10) ELSE chr(10) || chr(10) END AS joiner, i, us[i] AS t FROM x, unnest(range(1, len(us) + 1)) r(i))),
+{sql_fold('para', 'pu', 400, 'least(38, f.w)')},
+big AS (SELECT id AS doc_id, i AS first_i, t, string_split(regexp_replace(t, '([.!?]){S}+', '\\1' || chr(1), 'g'), chr(1)) AS ss FROM pu WHERE n > 400),
+sx AS (SELECT doc_id, first_i, list_filter(list_transform(CASE WHEN len(ss) = 1 THEN string_split(t, chr(10)) ELSE ss END, lambda x: {sql_strip('x')}), lambda x: x <> '') AS us FROM big),
+su AS (SELECT id, joiner, i, t, {SQL_COUNTED} FROM (SELECT doc_id || '|' || first_i AS id, ' ' AS joiner, i, us[i] AS t FROM sx, unnest(range(1, len(us) + 1)) r(i))),
+{sql_fold('sent', 'su', 330, 'f.w')},
+wx AS (SELECT id, i, {sql_words('t')} AS ws FROM su WHERE n > 330),
+cut AS (SELECT id AS doc_id, first_i AS a, 0 AS b, 0 AS c, piece FROM para UNION ALL SELECT split_part(id, '|', 1)::bigint, split_part(id, '|', 2)::bigint, first_i, 0, piece FROM sent
+ UNION ALL SELECT split_part(id, '|', 1)::bigint, split_part(id, '|', 2)::bigint, i, c, array_to_string(ws[c:c + 252], ' ') FROM (SELECT *, unnest(generate_series(1, greatest(len(ws) - 38, 1), 215)) AS c FROM wx)),
+n AS (SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY a, b, c) - 1)::int AS piece_idx FROM cut)
+SELECT doc_id, doc_id || '_p1_t' || piece_idx AS chunk_id, piece_idx, length(piece)::int AS chars, md5(piece) AS hash FROM n""")
 def chunk_text(spark: SparkSession, sf: str) -> DataFrame:
     """The greedy fold over every document, with names."""
     docs = table(spark, sf, "documents").select("doc_id", F.lit(1).alias("page"), F.lit(0).alias("elem_idx"), F.col("text").alias("content"))
-    return chunking.name_pieces(chunking.chunk_texts(docs)).select("doc_id", "chunk_id", "piece_idx", F.length("content").alias("chars"))
+    return chunking.name_pieces(chunking.chunk_texts(docs)).select("doc_id", "chunk_id", "piece_idx", F.length("content").alias("chars"), F.md5("content").alias("hash"))
 
 
 @query(f"SELECT doc_id, {sql_parts('text', ['table', 'табл'])} OR contains(text, '|') OR regexp_matches(text, '[^\\t\\n\\x0B\\f\\r ] {{2,}}[^\\t\\n\\x0B\\f\\r ]+(?: [^\\t\\n\\x0B\\f\\r ]+)* {{2,}}[^\\t\\n\\x0B\\f\\r ]') OR (length(regexp_replace(text, '[^0-9]', '', 'g')) >= 12 AND length(regexp_replace(text, '[^0-9]', '', 'g')) >= 0.05 * length(text)) AS is_table FROM documents")
@@ -307,15 +332,23 @@ def image_route(spark: SparkSession, sf: str) -> DataFrame:
     return images.route(rows).select("chunk_id", "image_type", "skip_reason", "needs_vision")
 
 
-@query()
+@query("""WITH p AS (SELECT vec_id, list_transform(embedding, lambda x: greatest(0, least(255, trunc(x::double * 400 + 128)::int))) AS p FROM embeddings),
+e AS (SELECT vec_id, c, r, p[r * 8 + c + 1] AS v, CASE WHEN c > 0 THEN p[r * 8 + c] END AS l, CASE WHEN r > 0 THEN p[r * 8 + c - 7] END AS u FROM p, unnest(range(8)) x(c), unnest(range(8)) y(r)),
+k AS (SELECT vec_id, c, r, v, coalesce(abs(v - l), 0) AS dx, coalesce(abs(v - u), 0) AS dy FROM e),
+-- Pixels inside the border by cell: an edge to the left is eight pixels high, one upwards eight wide; the outer row and column of the image do not count.
+s AS (SELECT vec_id, sum(CASE WHEN dx > 30 AND dy > 30 THEN hh + ww - 1 WHEN dx > 30 THEN hh WHEN dy > 30 THEN ww ELSE 0 END) / 3844.0::double AS edges FROM (SELECT *, CASE WHEN r IN (0, 7) THEN 7 ELSE 8 END AS hh, CASE WHEN c IN (0, 7) THEN 7 ELSE 8 END AS ww FROM k) GROUP BY vec_id),
+q AS (SELECT vec_id, (SELECT 1) AS one, count(DISTINCT v) / 256.0::double AS d, stddev_pop(v) / 255 AS c FROM k GROUP BY vec_id),
+lines AS (SELECT vec_id, sum(CASE WHEN n > 3844 / 64.0 * 0.3 THEN 1 ELSE 0 END) / 128.0::double AS n FROM (SELECT vec_id, 'r' AS way, r AS at, sum(CASE WHEN dy > 50 THEN CASE WHEN c IN (0, 7) THEN 7 ELSE 8 END ELSE 0 END) AS n FROM k GROUP BY ALL UNION ALL SELECT vec_id, 'c', c, sum(CASE WHEN dx > 50 THEN CASE WHEN r IN (0, 7) THEN 7 ELSE 8 END ELSE 0 END) FROM k GROUP BY ALL) GROUP BY vec_id)
+SELECT vec_id, CASE WHEN d < 0.08 AND edges < 0.15 AND c > 0.3 THEN 'text_scan' WHEN d < 0.12 AND edges >= 0.15 AND edges < 0.30 AND n > 0.1 THEN 'table_scan' WHEN d >= 0.35 THEN 'photo' WHEN d >= 0.08 AND d < 0.40 AND edges >= 0.25 THEN 'diagram' ELSE 'chart' END AS image_type,
+ round(edges, 4) AS edge_ratio, round(n, 4) AS line_density, round(d, 4) AS diversity, round(c, 4) AS contrast FROM q JOIN s USING (vec_id) JOIN lines USING (vec_id)""")
 def image_classes(spark: SparkSession, sf: str) -> DataFrame:
     """Features and class of gray images made from the vectors: eight rows of eight pixels, each drawn eightfold."""
-    e = table(spark, sf, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: F.greatest(F.lit(0), F.least(F.lit(255), (x * 400 + 128).cast("int")))).alias("p"))
+    e = table(spark, sf, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: F.greatest(F.lit(0), F.least(F.lit(255), (x.cast("double") * 400 + 128).cast("int")))).alias("p"))
     hexed = F.array_join(F.transform("p", lambda v: F.repeat(F.lpad(F.hex(v), 2, "0"), 8)), "")
     rows = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda r: F.repeat(F.substring(hexed, r * 128 + 1, F.lit(128)), 8)), "")
     pixels = F.unhex(rows)
     f = e.withColumn("f", images.raw_gray_features(F.lit(64), F.lit(64), pixels))
-    return f.select("vec_id", images.image_class(F.col("f")).alias("image_type"), F.col("f.ahash").alias("ahash"), F.round("f.entropy", 4).alias("entropy"))
+    return f.select("vec_id", images.image_class(F.col("f")).alias("image_type"), *(F.round(F.col("f")[c], 4).alias(c) for c in ("edge_ratio", "line_density", "diversity", "contrast")))
 
 
 # --- tables --------------------------------------------------------------------------------------
@@ -347,11 +380,18 @@ def table_captions(spark: SparkSession, sf: str) -> DataFrame:
     return tables.attach_captions(rows.where("type = 'table'").select("doc_id", "page", "chunk_id", "content"), captions).select("chunk_id", F.md5("content").alias("hash"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {SQL_GOOD}, l AS (SELECT chunk_id, content, string_split({sql_strip('content')}, chr(10)) AS ls FROM good WHERE {SQL_TYPE} = 'table'),
+h AS (SELECT *, NOT regexp_matches(substr(ls[1], 1, 20), '\\p{{Nd}}') AS h1, coalesce(NOT regexp_matches(substr(ls[2], 1, 20), '\\p{{Nd}}'), false) AS h2 FROM l WHERE length(content) // 4 > 200),
+b AS (SELECT chunk_id, CASE WHEN h1 AND h2 THEN ls[1] || chr(10) || ls[2] WHEN h2 THEN ls[2] ELSE ls[1] END AS head, list_concat(CASE WHEN h2 AND NOT h1 THEN [ls[1]] WHEN h1 AND NOT h2 OR NOT h1 AND NOT h2 THEN ls[2:2] ELSE []::varchar[] END, ls[3:]) AS body FROM h),
+u AS (SELECT chunk_id, length(head) // 4 AS hn, i, body[i] AS line, length(body[i]) // 4 AS n FROM b, unnest(range(1, len(body) + 1)) r(i)),
+f AS (SELECT chunk_id, i, 0 AS piece_no, hn + n AS total FROM u WHERE i = 1 UNION ALL SELECT u.chunk_id, u.i, f.piece_no + CASE WHEN f.total + u.n > 200 THEN 1 ELSE 0 END, CASE WHEN f.total + u.n > 200 THEN u.hn ELSE f.total END + u.n FROM f JOIN u ON u.chunk_id = f.chunk_id AND u.i = f.i + 1),
+p AS (SELECT chunk_id, piece_no, head || chr(10) || string_agg(line, chr(10) ORDER BY i) AS piece FROM f JOIN u USING (chunk_id, i) JOIN b USING (chunk_id) GROUP BY chunk_id, piece_no, head
+ UNION ALL SELECT chunk_id, 0, content FROM l WHERE length(content) // 4 <= 200 UNION ALL SELECT chunk_id, 0, head FROM b WHERE len(body) = 0)
+SELECT chunk_id, piece_no::int AS piece_no, length(piece)::int AS chars, md5(piece) AS hash FROM p""")
 def table_split(spark: SparkSession, sf: str) -> DataFrame:
     """Pieces of all markdown tables with the header repeated."""
     rows = good(spark, sf).where("type = 'table'")
-    return rows.select("chunk_id", F.posexplode(tables.split_table(F.col("content"))).alias("piece_no", "piece")).select("chunk_id", "piece_no", F.length("piece").alias("chars"))
+    return rows.select("chunk_id", F.posexplode(tables.split_table(F.col("content"), 200)).alias("piece_no", "piece")).select("chunk_id", "piece_no", F.length("piece").alias("chars"), F.md5("piece").alias("hash"))
 
 
 # --- documents, links, pages ---------------------------------------------------------------------

@@ -23,6 +23,22 @@ def test_fold_keeps_every_word_and_its_budget():
     assert chunking.fold_text("short") == ["short"] and chunking.fold_text(" \n ") == []
 
 
+def test_fold_by_literal_cases():
+    numbered = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    tail = lambda text, n=38: " ".join(text.split()[-n:])
+    # Lines are joined by one line end again, and a new piece begins with the last 38 words before it.
+    a, b, c = (numbered(x, 150) for x in "abc")
+    assert chunking.fold_text(f"{a}\n{b}\n{c}") == [a, f"{tail(a)}\n{b}", f"{tail(b)}\n{c}"]
+    # Paragraphs are joined by a blank line; short ones are repeated whole.
+    a, b, c = numbered("a", 250), numbered("b", 3), numbered("c", 20)
+    assert chunking.fold_text(f"{a}\n\n{b}\n \n{c}") == [f"{a}\n\n{b}\n\n{c}"[: len(f"{a}\n\n{b}")], f"{b}\n\n{c}"]
+    # Estimates are rounded down per unit: 110 sentences of three words count 3 each, and 330 is the budget.
+    sentences = [f"s{i} is short." for i in range(150)]
+    assert chunking.fold_text(" ".join(sentences)) == [" ".join(sentences[:110]), " ".join(sentences[109:])]
+    # After an oversized paragraph nothing is repeated.
+    assert chunking.fold_text(f"head\n\n{numbered('w', 400)}\n\nend") == ["head", numbered("w", 400)[: len(numbered("w", 253))], " ".join(f"w{i}" for i in range(215, 400)), "end"]
+
+
 def test_chunks_of_elements(spark):
     rows = [("d", 1, 0, "text", SENTENCE * 60), ("d", 1, 1, "text", None), ("d", 2, 0, "text", "tail"), ("d", 1, 5, "table", "| a | b |\n| --- | --- |\n| 1 | 2 |"), ("d", 1, 6, "table", "| A | b |\n| --- | --- |\n| 1 | 2 |")]
     got = {r.chunk_id: r for r in text_and_table_chunks(spark.createDataFrame(rows, "doc_id string, page int, elem_idx int, type string, content string")).collect()}
@@ -38,8 +54,15 @@ def test_tables(spark):
     assert [r.m for r in html.select(tables.html_to_markdown(F.col("h")).alias("m")).collect()] == ["| x | y |\n| --- | --- |\n| 1 | 2 |", None]
     big = "| name | value |\n| --- | --- |\n" + "\n".join(f"| row {i} | {i} |" for i in range(200))
     pieces = spark.createDataFrame([(big,), ("| only | head |\n" + "| x |" * 400,)], "t string").select(tables.split_table(F.col("t"), 200).alias("p")).collect()
-    assert all(p.startswith("| name | value |\n| --- | --- |\n") and len(p) <= 800 for p in pieces[0].p)
+    assert all(p.startswith("| name | value |\n| --- | --- |\n") and sum(len(x) // 4 for x in p.split("\n")[2:]) + len("| name | value |\n| --- | --- |") // 4 <= 200 for p in pieces[0].p)
     assert [x for p in pieces[0].p for x in p.split("\n")[2:]] == big.split("\n")[2:] and len(pieces[1].p) == 1
+    # Rows that equal the header stay, blank lines too; the header may be the second line, and what is before it is a row.
+    again = "| name | value |\n" + "\n".join(["| name | value |", "", *(f"| row {i} | {i} |" for i in range(120))] * 2)
+    second = "1 | 2\nname | value\n" + "\n".join(f"{i} | {i}" for i in range(200))
+    got = [r.p for r in spark.createDataFrame([(again,), (second,), ("x" * 900,), (None,)], "t string").select(tables.split_table(F.col("t"), 200).alias("p")).collect()]
+    assert [x for p in got[0] for x in p.split("\n")[2:]] == again.split("\n")[2:] and got[0][0].startswith("| name | value |\n| name | value |\n\n")
+    assert [x for p in got[1] for x in p.split("\n")[1:]] == [second.split("\n")[0], *second.split("\n")[2:]] and all(p.startswith("name | value\n") for p in got[1])
+    assert got[2] == ["x" * 900] and got[3] is None
 
 
 def test_top_k_against_numpy_and_index_changes(spark):
@@ -126,7 +149,14 @@ def test_image_features_and_routing(spark):
     solid, noise = np.full((64, 64), 200.0), np.random.default_rng(1).integers(0, 256, (64, 64)).astype(float)
     stripes = np.tile(np.repeat([0.0, 255.0], 4), 8)[:, None] * np.ones((1, 64))
     f = {n: images.gray_features(a) for n, a in (("solid", solid), ("noise", noise), ("stripes", stripes))}
-    assert f["solid"][6] == 0 and f["solid"][8] == "f" * 16 and f["noise"][2] > 0.9 and f["stripes"][5] > 0.05
+    assert f["solid"][7] == 0 and f["solid"][9] == "f" * 16 and f["noise"][3] > 0.9 and f["stripes"][6] > 0.05
+    # One side under 20 pixels is enough, also after scaling down to 512: 2000 x 60 becomes 512 x 15.
+    assert images.gray_features(np.full((60, 2000), 9.0))[:3] == (2000, 60, 15) and images.gray_features(np.full((19, 400), 9.0))[2] == 19
+    # Of the 62 x 62 inner pixels of a checkerboard of cells of four, those at a left or upper cell border are edges: 15 columns or 15 rows.
+    board = np.kron(np.indices((16, 16)).sum(0) % 2, np.ones((4, 4))) * 255
+    assert images.gray_features(board)[5] == (15 * 62 * 2 - 15 * 15) / 62**2
+    ramp = np.tile(np.arange(1024.0) // 4, (600, 1))
+    assert np.abs(images.resized(ramp, 300, 512) - np.tile((np.arange(1024) // 4).reshape(-1, 2).mean(1), (300, 1))).max() <= 1
     df = spark.createDataFrame([(4, 4, bytes(16)), (4, 4, b"x"), (None, 1, None)], "w int, h int, p binary")
     rows = df.select(images.raw_gray_features(F.col("w"), F.col("h"), F.col("p")).alias("f")).select("f.*", images.image_class(F.col("f")).alias("c")).collect()
     assert rows[0].c == "text_scan" and rows[1].ahash is None and rows[1].c == "chart"
