@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.functions import pandas_udf
 
 from pagewright.functions.sql import is_blank, words
 from pagewright.llm.quality import lexicon_words
@@ -57,6 +60,10 @@ REFUSALS = [
 #: Names of the fields that may stand before a copied question.
 LABEL = r"^\s*[\"«„“]?\s*\p{L}{1,12}\s?:\s+"
 LANGUAGES = ["de", "en", "fr", "ru"]
+#: Words whose scores a Python worker remembers; beyond it the memory starts anew.
+REMEMBERED = 200_000
+#: Least uses of a word, and most of them before a final stop, for it to never or seldom end a sentence.
+NEVER, SELDOM = (20, 0.004), (5, 0.05)
 QUOTED = r"\"[^\"]{1,80}\"|«[^»]{1,80}»|„[^“”]{1,80}[“”]|“[^”]{1,80}”"
 
 
@@ -85,46 +92,31 @@ def copied_question(question: Column, answer: Column) -> Column:
     return F.coalesce(enough & (same(answer) | (answer.rlike(LABEL) & same(F.regexp_replace(answer, LABEL, "")))), F.lit(False))
 
 
-# --- rules on the text of an answer, applied to Arrow batches ------------------------------------
+# --- rules on the text of an answer --------------------------------------------------------------
 
-_APOLOGY, _REFUSALS = re.compile(APOLOGY), re.compile("|".join(f"(?:{p})" for p in REFUSALS))
-_SENTENCE = re.compile(r"(?<=[.!?])\s+(?=\S)|\n+")
+_REFUSED = "(?U)^(?:" + "|".join(f"(?:{p})" for p in REFUSALS) + ")$"
+_APOLOGIES = f"(?U)^(?:{APOLOGY.removeprefix('^')})+"
 
 
-def is_refusal(answer: str) -> bool:
+def is_refusal(answer: Column) -> Column:
     """Every sentence is a refusal or an apology, and one is a refusal."""
-    text = re.sub(r"\s+", " ", answer.lower().replace("’", "'")).strip(" \"«»„“”")
-    seen = False
-    for sentence in _SENTENCE.split(text):
-        rest = sentence.strip()
-        while (shorter := _APOLOGY.sub("", rest, count=1).strip()) != rest:
-            rest = shorter
-        rest = rest.rstrip(" .!?…")
-        if not rest:
-            continue
-        if not _REFUSALS.fullmatch(rest):
-            return False
-        seen = True
-    return seen
-
-
-def breaks_off(answer: str, no_last: set[str]) -> tuple[bool, str | None]:
-    """(certainly broken, last word that may be part of one). Decided by marks and by words that cannot end a sentence."""
-    text = answer.rstrip()
-    body = re.sub(r"(?:\.{2,}|…)+$", "", text).rstrip()
-    if not body or not re.search(r"[^\W\d_]", body):
-        return False, None
-    cut = body != text
-    if re.search(r"[,;:(\[{«„“‘–—-]$", body):
-        return True, None
-    if any(body.count(a) > body.count(b) for a, b in ("()", "[]", "«»", "{}")) or body.count('"') % 2:
-        return True, None
-    last = re.search(r"([^\W\d_]+)$", body)
-    if last is None:
-        return cut and body[-1] not in ".!?", None
-    if last.group(1).lower() in no_last or cut:
-        return True, None
-    return False, last.group(1).lower()
+    text = F.regexp_replace(F.regexp_replace(F.replace(F.lower(answer), F.lit("’"), F.lit("'")), r"(?U)\s+", " "), r'^[ "«»„“”]+|[ "«»„“”]+$', "")
+    told = F.transform(F.split(text, r"(?<=[.!?]) +(?=\S)"), lambda x: F.regexp_replace(F.regexp_replace(x, _APOLOGIES, ""), "[ .!?…]+$", ""))
+    told = F.filter(told, lambda x: x != "")
+    return F.coalesce((F.size(told) > 0) & F.forall(told, lambda x: x.rlike(_REFUSED)), F.lit(False))
+
+
+def ending(answer: Column) -> Column:
+    """struct(broken, last_word): broken off by its marks for certain; else the last word where no mark follows it."""
+    text = F.regexp_replace(answer, r"(?U)\s+$", "")
+    body = F.regexp_replace(F.regexp_replace(text, r"(?:\.{2,}|…)+$", ""), r"(?U)\s+$", "")
+    count = lambda c: F.length(body) - F.length(F.replace(body, F.lit(c), F.lit("")))
+    cut, last = body != text, F.lower(F.regexp_extract(body, r"(\p{L}+)$", 1))
+    opened = body.rlike(r"[,;:(\[{«„“‘–—-]$") | (count('"') % 2 == 1)
+    for left, right in ("()", "[]", "«»", "{}"):
+        opened = opened | (count(left) > count(right))
+    broken = body.rlike(r"\p{L}") & (opened | (cut & ~body.rlike(r"[.!?]$")))
+    return F.struct(F.coalesce(broken, F.lit(False)).alias("broken"), F.when(~broken & ~cut & (last != ""), last).alias("last_word"))
 
 
 class LanguageModel:
@@ -140,131 +132,152 @@ class LanguageModel:
         kinds = len(set().union(*grams.values())) + 1
         self._log = {lang: ({g: math.log((n + 0.3) / (sum(c.values()) + 0.3 * kinds)) for g, n in c.items()}, math.log(0.3 / (sum(c.values()) + 0.3 * kinds))) for lang, c in grams.items()}
 
+        self._known: dict[str, np.ndarray] = {}
+
     @staticmethod
     def _of(word: str) -> list[str]:
         w = f"^{word}$"
         return [w[i : i + 3] for i in range(len(w) - 2)]
 
-    def scores(self, text: str) -> dict[str, float]:
-        """Log-likelihoods of the words that speak for a language: no numbers, units after numbers or quoted terms."""
-        text = re.sub(QUOTED, " ", text)
-        text = re.sub(r"\d[\d.,]*\s?[^\W\d_]{1,3}\b|\d[\d.,]*\s?[%°µ]\w?", " ", text)
-        out = dict.fromkeys(LANGUAGES, 0.0)
-        for word in re.findall(r"[^\W\d_]{2,}", text.lower()):
+    def _word(self, word: str) -> np.ndarray:
+        """Log-likelihood of a word per language; a word of the lexicon speaks against the languages that lack it."""
+        found = self._known.get(word)
+        if found is None:
             of = self._words.get(word)
-            for lang in LANGUAGES:
-                if of is not None:
-                    out[lang] += 0.0 if lang in of else -6.0
-                else:
-                    table, rare = self._log[lang]
-                    out[lang] += max(-6.0, sum(table.get(g, rare) for g in self._of(word)) / len(word)) if len(word) > 2 else 0.0
-        return out
-
-    def language(self, text: str, margin: float) -> str | None:
-        """The likeliest language, None if another comes within the margin."""
-        ranked = sorted(self.scores(text).items(), key=lambda x: -x[1])
-        return ranked[0][0] if ranked[0][1] - ranked[1][1] >= margin else None
+            if of is not None:
+                found = np.array([0.0 if lang in of else -6.0 for lang in LANGUAGES])
+            elif len(word) > 2:
+                found = np.array([max(-6.0, sum(table.get(g, rare) for g in self._of(word)) / len(word)) for table, rare in (self._log[lang] for lang in LANGUAGES)])
+            else:
+                found = np.zeros(len(LANGUAGES))
+            if len(self._known) >= REMEMBERED:
+                self._known.clear()
+            self._known[word] = found
+        return found
+
+    def languages(self, texts: pd.Series, margin: float) -> pd.Series:
+        """The likeliest language of each text by the words that speak for one: no numbers, units after numbers or quoted terms. None if another comes within the margin."""
+        plain = pc.utf8_lower(pa.array(texts.fillna(""), pa.large_string()))
+        for pattern in (QUOTED, r"\p{Nd}[\p{Nd}.,]*\s?\p{L}{1,3}\b|\p{Nd}[\p{Nd}.,]*\s?[%°µ]\p{L}?"):
+            plain = pc.replace_substring_regex(plain, pattern, " ")
+        lists = pc.split_pattern_regex(plain, r"[^\p{L}]+")
+        coded = lists.flatten().dictionary_encode()
+        table = np.array([self._word(w) if len(w) >= 2 else np.zeros(len(LANGUAGES)) for w in coded.dictionary.to_pylist()]).reshape(-1, len(LANGUAGES))
+        sums = np.concatenate([np.zeros((1, len(LANGUAGES))), np.cumsum(table[coded.indices.to_numpy()], axis=0)])
+        bounds = lists.offsets.to_numpy()
+        scores = sums[bounds[1:]] - sums[bounds[:-1]]
+        ranked = np.sort(scores, axis=1)
+        sure = ranked[:, -1] - ranked[:, -2] >= margin
+        return pd.Series(np.where(sure, np.array(LANGUAGES, object)[scores.argmax(axis=1)], None), index=texts.index, dtype=object)
 
 
 # --- operators -----------------------------------------------------------------------------------
 
 
 def shortened_versions(texts: DataFrame) -> DataFrame:
-    """(text, cut_inside_word) of texts that are a proper prefix of another.
+    """(text, inside_word) of the candidates that are a proper prefix of a whole text; (text, whole, candidate) are distinct by text.
 
-    Distinct texts are range-partitioned and sorted: a text that another one continues is
-    followed by one that continues it. Each partition streams through in order with one text
-    of memory; partitions' first and last texts, a row each, close the gaps between them.
+    Texts are range-partitioned and sorted: the whole texts that continue a candidate follow
+    it without a gap, so the next whole text decides. Each partition streams through in order
+    and holds only candidates that are prefixes of one another; what is still open at a
+    partition's end meets the first whole text after it, a row per partition.
     """
-    ordered = texts.select("text").where("text is not null").distinct().repartitionByRange("text").sortWithinPartitions("text").withColumn("part", F.spark_partition_id())
+    ordered = texts.select("text", "whole", "candidate").where("text is not null").repartitionByRange("text").sortWithinPartitions("text").withColumn("part", F.spark_partition_id())
+    columns = ["text", "inside_word", "part", "first", "open"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        before, first, part = None, None, None
+        first, part, open_ = None, None, []
         for frame in frames:
             rows = []
-            for text, part in zip(frame["text"], frame["part"]):  # noqa: B007
-                first = text if first is None else first
-                if before is not None and text.startswith(before):
-                    rows.append((before, _inside(before, text), None, None, None))
-                before = text
-            yield pd.DataFrame(rows, columns=["text", "cut_inside_word", "part", "first", "last"], dtype=object)
-        if before is not None:
-            yield pd.DataFrame([(None, None, int(part), first, before)], columns=["text", "cut_inside_word", "part", "first", "last"], dtype=object)
+            for text, whole, candidate, part in zip(frame["text"], frame["whole"], frame["candidate"], frame["part"]):  # noqa: B007
+                while open_ and not text.startswith(open_[-1]):
+                    open_.pop()
+                if whole:
+                    first = text if first is None else first
+                    rows += [(x, x[-1:].isalnum() and text[len(x)].isalnum(), None, None, None) for x in open_]
+                    open_ = []
+                if candidate:
+                    open_.append(text)
+            yield pd.DataFrame(rows, columns=columns, dtype=object)
+        if part is not None:
+            yield pd.DataFrame([(None, None, int(part), first, open_)], columns=columns, dtype=object)
 
     # Written once: both readers below must see the same partitions.
-    out = materialize(ordered.mapInPandas(run, "text string, cut_inside_word boolean, part int, first string, last string"), "shortened")
-    edges = out.where("part is not null").withColumn("following", F.lead("first").over(W.orderBy("part")))  # a row per partition
-    edges = edges.where(F.col("following").startswith(F.col("last"))).select(F.col("last").alias("text"), (F.substring(F.col("following"), F.length("last") + 1, F.lit(1)).rlike(r"[\p{L}\p{N}]") & F.col("last").rlike(r"[\p{L}\p{N}]$")).alias("cut_inside_word"))
-    return out.where("text is not null").select("text", "cut_inside_word").unionByName(edges)
-
+    out = materialize(ordered.mapInPandas(run, "text string, inside_word boolean, part int, first string, open array<string>"), "shortened")
+    following = F.first("first", ignorenulls=True).over(W.orderBy("part").rowsBetween(1, W.unboundedFollowing))
+    edges = out.where("part is not null").withColumn("following", following).select("following", F.explode("open").alias("text")).where(F.col("following").startswith(F.col("text")))
+    edges = edges.select("text", (F.substring(F.col("following"), F.length("text") + 1, F.lit(1)).rlike(r"[\p{L}\p{N}]") & F.col("text").rlike(r"[\p{L}\p{N}]$")).alias("inside_word"))
+    return out.where("text is not null").select("text", "inside_word").unionByName(edges)
 
-def _inside(short: str, long: str) -> bool:
-    return short[-1:].isalnum() and long[len(short)].isalnum()
 
-
-def length_spikes(answers: DataFrame, column: str = "answer", reach: int = 4, factor: float = 6.0, least: int = 20) -> DataFrame:
+def length_spikes(answers: DataFrame, reach: int = 4, factor: float = 6.0, least: int = 20) -> DataFrame:
     """(n_chars) at which far more answers without a final stop end than at the lengths around: a length limit at work.
 
-    The histogram has one row per length, whatever the number of answers.
+    ``answers`` has n_chars. The histogram has one row per length, whatever the number of answers.
     """
-    lengths = answers.where(~F.col(column).rlike(r"[.!?…]\s*$")).groupBy(F.length(column).alias("n_chars")).agg(F.count("*").alias("n"))
+    lengths = answers.groupBy("n_chars").agg(F.count("*").alias("n"))
     near = W.orderBy("n_chars").rangeBetween(-reach, reach)
     around = (F.sum("n").over(near) - F.col("n")) / (2.0 * reach)
     return lengths.withColumn("around", around).where((F.col("n") >= least) & (F.col("n") >= factor * F.greatest("around", F.lit(1.0)))).select("n_chars")
 
 
-def closing_words(texts: DataFrame, common: list[str], column: str = "text", least: int = 20, share: float = 0.004) -> set[str]:
-    """The common words that practically never stand before a final stop, counted over all texts.
+def word_endings(texts: DataFrame, column: str = "text") -> DataFrame:
+    """(word, n, ends): how often each word is used, and how often a final stop follows it, counted over all texts."""
+    used = texts.select(F.explode(words(F.col(column))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    ended = texts.select(F.explode(F.regexp_extract_all(F.lower(column), F.lit(r"(\p{L}+)[.!?](?:\s|$)"), F.lit(1))).alias("word")).groupBy("word").agg(F.count("*").alias("ends"))
+    return used.join(ended, "word", "left").fillna(0, ["ends"])
 
-    At most as many rows as the common words of the lexicon come to the driver.
-    """
-    used = texts.select(F.explode(words(F.col(column))).alias("word")).where(F.col("word").isin(common)).groupBy("word").agg(F.count("*").alias("n"))
-    ended = texts.select(F.explode(F.regexp_extract_all(F.lower(column), F.lit(r"(\p{L}+)[.!?](?:\s|$)"), F.lit(1))).alias("word")).where(F.col("word").isin(common)).groupBy("word").agg(F.count("*").alias("ends"))
-    rows = used.join(ended, "word", "left").where((F.col("n") >= least) & (F.coalesce("ends", F.lit(0)) <= share * F.col("n"))).select("word").collect()
-    return {r.word for r in rows}
+
+def known_words(texts: DataFrame, lexicon: DataFrame, column: str = "text") -> DataFrame:
+    """(word) of the lexicon, or used twice elsewhere than as the last word of a text."""
+    inner = texts.select(F.explode(F.split(F.regexp_replace(F.lower(column), r"\p{L}+[^\p{L}]*$", ""), r"[^\p{L}]+")).alias("word")).where("word <> ''").groupBy("word").agg(F.count("*").alias("n")).where("n >= 2").select("word")
+    return inner.unionByName(lexicon.where("word is not null").select(F.lower("word").alias("word"))).distinct()
 
 
 def defective_pairs(dataset: DataFrame, lexicon: DataFrame) -> DataFrame:
     """(entry_id, defect) of entries with has_answer true; an entry with two defects has two rows.
 
+    An answer is truncated where its marks say so; where it or its last word is a shortened
+    version, broken off inside a word, of another answer or of a known word; where its last
+    word practically never ends a sentence; and, where another answer goes on after it or its
+    length is at a limit, already if that word is unknown or seldom ends one (refusals, which
+    often lack a stop, aside).
+
     Repeated rows count once. NULL has_answer is no case; a NULL question cannot be copied
     and has no language; NULL and blank answers are ``empty_answer`` and nothing else. An
     empty table gives no rows. The lexicon is a bounded table (see ``quality``).
     """
-    known, common = lexicon_words(lexicon)
+    lexicon_words(lexicon)  # raises if it is not bounded
     model = LanguageModel(sorted({(r.word, r.lang) for r in lexicon.where("word is not null").select(F.lower("word").alias("word"), "lang").distinct().collect()}))
+    spoken = lambda margin: pandas_udf(lambda texts: model.languages(texts, margin), "string")
     rows = dataset.where("has_answer").select("entry_id", "question", F.col("expected_answer").alias("answer")).distinct()
     rows = rows.withColumn("empty", empty_answer(F.col("answer"))).withColumn("copied", ~F.col("empty") & copied_question(F.col("question"), F.col("answer")))
-    told = rows.where(~F.col("empty"))
+    told = rows.where(~F.col("empty")).withColumn("e", ending(F.col("answer")))
+    told = told.withColumns({"refusal": is_refusal(F.col("answer")), "asked": spoken(4.0)("question"), "spoken": spoken(5.0)("answer"), "text": F.regexp_replace(F.regexp_replace("answer", r"(?:\.{2,}|…)+\s*$", ""), r"(?U)\s+$", "")})
+    # Written once, as every step below reads it.
+    told = materialize(told.select("entry_id", "copied", "refusal", "e.broken", "e.last_word", (F.col("asked") != F.col("spoken")).alias("foreign"), "text", F.length("answer").alias("n_chars"), (~F.col("answer").rlike(r"(?U)[.!?»”\")]\s*$")).alias("open_end")), "pairs")
     every = dataset.select(F.col("question").alias("text")).unionByName(dataset.select(F.col("expected_answer").alias("text"))).where("text is not null").distinct()
-    no_last = closing_words(every, common)
-
-    def judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            ends = [breaks_off(a, no_last) for a in f["answer"]]
-            asked = {q: model.language(q, 4.0) if q else None for q in set(f["question"])}
-            answered = [model.language(a, 5.0) for a in f["answer"]]
-            f["refusal"] = [is_refusal(a) for a in f["answer"]]
-            f["broken"], f["last_word"] = [x[0] for x in ends], [x[1] for x in ends]
-            f["foreign"] = [x is not None and asked[q] is not None and x != asked[q] for q, x in zip(f["question"], answered)]
-            yield f[["entry_id", "answer", "copied", "refusal", "broken", "last_word", "foreign"]]
-
-    judged = told.select("entry_id", "question", "answer", "copied").mapInPandas(judge, "entry_id bigint, answer string, copied boolean, refusal boolean, broken boolean, last_word string, foreign boolean")
-    # A last word without final stop is part of one if nothing else has it as a word but longer words begin so.
-    inner = every.select(F.explode(F.split(F.regexp_replace(F.lower("text"), r"\p{L}+[^\p{L}]*$", ""), r"[^\p{L}]+")).alias("word")).where("word <> ''").groupBy("word").agg(F.count("*").alias("n")).where("n >= 2").select("word")
-    vocabulary = inner.unionByName(lexicon.where("word is not null").select(F.lower("word").alias("word"))).distinct()
-    begun = vocabulary.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substring(F.col("word"), F.lit(1), i))).alias("last_word")).where("last_word <> ''").distinct() if known else vocabulary.select(F.col("word").alias("last_word"))
-    open_words = judged.where("last_word is not null").select("last_word").distinct()
-    unknown = open_words.join(vocabulary, F.col("last_word") == F.col("word"), "left_anti")
-    parts = unknown.join(begun.withColumn("part", F.lit(True)), "last_word", "left").withColumn("unknown", F.lit(True))
-    shortened = shortened_versions(told.select(F.rtrim(F.regexp_replace("answer", r"(?:\.{2,}|…)+\s*$", "")).alias("text"))).where("cut_inside_word").select(F.col("text").alias("cut_text")).distinct()
-    spikes = length_spikes(told).withColumn("spike", F.lit(True))
-    open_end = ~F.col("answer").rlike(r"[.!?»”\")]\s*$")
-    judged = judged.join(parts, "last_word", "left").join(shortened, (F.rtrim("answer") == F.col("cut_text")), "left").join(spikes, F.length("answer") == F.col("n_chars"), "left")
-    inside = F.coalesce("part", F.lit(False)) | (F.col("cut_text").isNotNull() & open_end)
-    # At a length limit an unknown last word is broken even if nothing longer begins so.
-    at_limit = F.coalesce("spike", F.lit(False)) & open_end & F.coalesce("unknown", F.lit(False))
-    truncated = ~F.col("copied") & ~F.col("refusal") & (F.col("broken") | inside | at_limit)
+
+    last = told.where("last_word is not null").select(F.col("last_word").alias("word")).distinct()
+    common = lexicon.where("word is not null and is_common").select(F.lower("word").alias("word")).distinct().withColumn("common", F.lit(True))
+    share = lambda n, at_most: (F.col("n") >= n) & (F.col("ends") <= at_most * F.col("n"))
+    endings = word_endings(every).join(last, "word", "left_semi").join(common, "word", "left").select("word", (F.col("common").isNotNull() & share(NEVER[0], NEVER[1])).alias("never_last"), share(SELDOM[0], SELDOM[1]).alias("seldom_last"))
+    vocabulary = known_words(every, lexicon).withColumn("known", F.lit(True))
+    # Words and answers are sorted together, told apart by a mark in front.
+    marked = lambda mark, c: F.concat(F.lit(mark), F.col(c)).alias("text")
+    stumps = last.join(vocabulary, "word", "full").select(marked("w", "word"), F.coalesce("known", F.lit(False)).alias("whole"), F.col("known").isNull().alias("candidate"))
+    answers = told.groupBy("text").agg(F.bool_or("open_end").alias("candidate")).select(marked("a", "text"), F.lit(True).alias("whole"), "candidate")
+    shortened = shortened_versions(stumps.unionByName(answers)).select(F.substring("text", 1, 1).alias("mark"), F.expr("substring(text, 2)").alias("text"), "inside_word")
+    versions = shortened.where("mark = 'a'").select("text", "inside_word")
+    stumps = shortened.where("mark = 'w'").select(F.col("text").alias("word"), F.lit(True).alias("stump"))
+    facts = last.join(endings, "word", "left").join(vocabulary, "word", "left").join(stumps, "word", "left").withColumnRenamed("word", "last_word")
+    spikes = length_spikes(told.where("open_end")).withColumn("spike", F.lit(True))
+    judged = told.join(facts, "last_word", "left").join(versions, "text", "left").join(spikes, "n_chars", "left")
+    yes = lambda c: F.coalesce(c if isinstance(c, Column) else F.col(c), F.lit(False))
+    evidence = F.col("open_end") & ~F.col("refusal") & (F.col("inside_word").isNotNull() | yes("spike"))
+    weak_end = F.col("last_word").isNotNull() & (F.col("known").isNull() | yes("seldom_last"))
+    inside = yes("stump") | (yes("inside_word") & F.col("open_end"))
+    truncated = ~F.col("copied") & (F.col("broken") | yes("never_last") | inside | (evidence & weak_end))
     defects = F.array_compact(F.array(F.when(F.col("copied"), "copied_question"), F.when(F.col("refusal"), "refusal"), F.when(truncated, "truncated_answer"), F.when(F.col("foreign"), "other_language")))
     found = judged.select("entry_id", F.explode(defects).alias("defect"))
     return rows.where("empty").select("entry_id", F.lit("empty_answer").alias("defect")).unionByName(found).distinct()

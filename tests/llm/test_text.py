@@ -1,7 +1,8 @@
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from pagewright.llm.pairs import LanguageModel, breaks_off, defective_pairs, is_refusal, shortened_versions
+from pagewright.llm.pairs import LanguageModel, defective_pairs, ending, is_refusal, shortened_versions
 from pagewright.llm.pieces import oversized, split_oversized, split_text, words_within
 from pagewright.llm.pii import Finder, iso7064_key, luhn, mod97_key, personal_items, redacted, weighted_key
 from pagewright.llm.quality import FEATURES, chunk_kinds, induce_rules, not_prose, rules_to_sql, seed_label, text_statistics
@@ -38,16 +39,20 @@ def test_split_without_words():
 # --- pairs ---------------------------------------------------------------------------------------
 
 
-def test_refusals_and_lures():
-    assert is_refusal("I'm afraid that I cannot answer this from the pages provided.") and is_refusal("ICH WEISS ES NICHT.".replace("SS", "ß")) and is_refusal("Désolé. Je ne sais pas.") and is_refusal("Не знаю.")
-    for lure in ("The load cannot be used above 163 GHz.", "No answer signal was recorded above 314 mg.", "Le coupleur ne peut pas répondre en moins de 225 ms.", "Недостаточно мощности: фильтр защищает образец.", "I don't know. But the lens is robust."):
-        assert not is_refusal(lure), lure
+def test_refusals_and_lures(spark):
+    refused = ["I'm afraid that I cannot answer this from the pages provided.", "ICH WEIß ES NICHT.", "Désolé. Je ne sais pas.", "Не знаю.", "Sorry, sorry, but I can’t\nanswer."]
+    lures = ["The load cannot be used above 163 GHz.", "No answer signal was recorded above 314 mg.", "Le coupleur ne peut pas répondre en moins de 225 ms.", "Недостаточно мощности: фильтр защищает образец.", "I don't know. But the lens is robust.", "Sorry.", "", None]
+    got = {r.t: r.x for r in spark.createDataFrame([(t,) for t in refused + lures], "t string").select("t", is_refusal(F.col("t")).alias("x")).collect()}
+    assert got == {t: t in refused for t in refused + lures}
 
 
-def test_breaks():
-    no_last = {"the", "of"}
-    assert breaks_off("The lens of the", no_last)[0] and breaks_off('The lens ("', no_last)[0] and breaks_off("The lens,", no_last)[0] and breaks_off("the sig…", no_last)[0]
-    assert breaks_off("The lens is robust", no_last) == (False, "robust") and not breaks_off("12 mW.", no_last)[0] and not breaks_off("", no_last)[0]
+def test_endings(spark):
+    want = {
+        'The lens ("': (True, None), "The lens,": (True, None), "the sig…": (True, None), "The lens (of": (True, None), "The lens is robust": (False, "robust"), "12 mW.": (False, None), "": (False, None), None: (False, None),
+        "Die «Linse": (True, None), "12…": (False, None), "The lens is robust. ": (False, None), "The lens...": (True, None), "(1) is it": (False, "it"),
+    }
+    got = {r.t: tuple(r.e) for r in spark.createDataFrame([(t,) for t in want], "t string").select("t", ending(F.col("t")).alias("e")).collect()}
+    assert got == want
 
 
 def test_defects(spark, lexicon):
@@ -67,15 +72,43 @@ def test_defects(spark, lexicon):
 def test_shortened_versions_across_partitions(spark):
     texts = [f"sentence number {i} ends here" for i in range(300)]
     short = {t[: 14 + len(t) // 4] for t in texts[::7]}
-    df = spark.createDataFrame([(t,) for t in texts + sorted(short)] + [(None,), ("",)], "text string")
     every = set(texts) | short | {""}
-    want = {t for t in every if any(o != t and o.startswith(t) for o in every)}
-    assert {r.text for r in shortened_versions(df).collect()} == want
+    # Some are no whole texts, so what they go on from is no shortened version of them.
+    parts = {t[:12] + "zz" + c for t in texts[:1] for c in ("", "a", "ab")}
+    rows = [(t, True, True) for t in sorted(every)] + [(t, False, True) for t in sorted(parts)] + [("sentence number whole only", True, False), (None, True, True)]
+    want = {t for t in every | parts if any(o != t and o.startswith(t) for o in every | {"sentence number whole only"})}
+    for n in (1, 4, 40):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        found = shortened_versions(spark.createDataFrame(rows, "text string, whole boolean, candidate boolean")).collect()
+        assert {r.text for r in found} == want and len(found) == len(want)
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert {r.text: r.inside_word for r in found}[texts[0][:20]] and not {r.text: r.inside_word for r in found}[""]
 
 
 def test_language_model(lexicon):
     m = LanguageModel([(r.word, r.lang) for r in lexicon.collect()])
-    assert m.language("der robuste Druck wird gemessen", 3.0) == "de" and m.language("при измеренный сигнал", 3.0) == "ru" and m.language("12 mW", 3.0) is None
+    assert m.languages(pd.Series(["der robuste Druck wird gemessen", "при измеренный сигнал", "12 mW", None, ""], index=[3, 1, 7, 9, 2]), 3.0).to_dict() == {3: "de", 1: "ru", 7: None, 9: None, 2: None}
+    assert m.languages(pd.Series([], dtype=object), 3.0).empty
+
+
+def test_named_steps_decide_rows(spark, lexicon, monkeypatch):
+    from pagewright.llm import pairs
+
+    full = "The measured signal shows that the detector exceeds the result"
+    filler = [(200 + i, "q", True, f"The lens {i} is robust with signal {'x' * i} and thermal filter of the beam.") for i in range(30)]
+    rows = [(1, "What is it?", True, full[:-3]), (2, "What?", True, full + "."), (3, "What is it?", True, "The lens is robus"), (4, "Which?", True, "The beam of vqxz"), (5, "Which?", True, "The beam of vqxz shows that the lens is robust.")]
+    spike = [(100 + i, "What is it?", True, (f"the beam is robust {i:02d} " + "with the lens " * 5)[:60] + " zq" + chr(97 + i)) for i in range(24)]
+    df = spark.createDataFrame(rows + spike + filler, "entry_id long, question string, has_answer boolean, expected_answer string")
+    found = lambda: {r.entry_id for r in pairs.defective_pairs(df, lexicon).where("defect = 'truncated_answer'").collect()}
+    at_limit = {r[0] for r in spike}
+    assert found() == {1, 3, 4} | at_limit
+    whole = pairs.shortened_versions
+    monkeypatch.setattr(pairs, "shortened_versions", lambda t: whole(t).where("false"))
+    assert found() == at_limit
+    monkeypatch.setattr(pairs, "shortened_versions", whole)
+    spikes = pairs.length_spikes
+    monkeypatch.setattr(pairs, "length_spikes", lambda t: spikes(t).where("false"))
+    assert found() == {1, 3, 4}
 
 
 # --- quality -------------------------------------------------------------------------------------
