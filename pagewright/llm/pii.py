@@ -1,15 +1,16 @@
 """Problem 9: personal information in free text.
 
-Regular expressions propose spans, anchored where an automaton of cue words, given names
-and units of addresses strikes. Checksums confirm or weaken numbers, and the words around
-a span raise or lower its score; what reaches the threshold is reported and can be
-replaced by a typed placeholder.
+Regular expressions propose spans, anchored where an automaton of cue words and units of
+addresses strikes, or where capitalised words stand side by side. Every span has a score:
+its shape counts, a checksum confirms or weakens it, and the words around it, labels, titles,
+given names and other items nearby raise or lower it. What reaches the threshold is reported
+and can be replaced by a typed placeholder.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import ahocorasick
@@ -25,19 +26,26 @@ THRESHOLD = 2.0
 
 _AT = r"(?:@|\s?[\[({]\s?(?:at|ät|arobase|собака)\s?[\])}]\s?|\s+at\s+)"
 _DOT = r"(?:\.|\s?[\[({]\s?(?:dot|punkt|point|точка)\s?[\])}]\s?|\s+dot\s+)"
-_EMAIL = re.compile(rf"(?<![\w.+-])[^\W_][\w.+-]*{_AT}[^\W_][\w-]*(?:{_DOT}[^\W_][\w-]*)+(?<![-_])", re.IGNORECASE)
+_EMAIL = re.compile(rf"[^\W_][\w.+-]*{_AT}[^\W_][\w-]*(?:{_DOT}[^\W_][\w-]*)+(?<![-_])", re.IGNORECASE)
 _EMAIL_HINT = re.compile(r"@|[\[({]\s?(?:at|ät|arobase|собака)\s?[\])}]|\s(?:at)\s+\S+\s+dot\s", re.IGNORECASE)
 
 
 def emails(text: str) -> Iterator[tuple[int, int, float]]:
+    """The local part is followed back from each sign as far as it reaches."""
     for hint in _EMAIL_HINT.finditer(text):
-        begin = max(0, hint.start() - 80)
-        for m in _EMAIL.finditer(text, begin, min(len(text), hint.end() + 120)):
-            if m.start() < hint.start() < m.end():
-                last = re.split(_DOT, m.group(), flags=re.IGNORECASE)[-1]
-                spaced = re.search(r"\sat\s", m.group(), re.IGNORECASE) and not re.search(r"\sdot\s|[\[({]", m.group(), re.IGNORECASE)
-                if re.fullmatch(r"[^\W\d_]{2,24}", last) and not spaced:
-                    yield m.start(), m.end(), 3.0
+        begin = hint.start()
+        while begin and text[begin - 1].isspace():
+            begin -= 1
+        while begin and (text[begin - 1].isalnum() or text[begin - 1] in "_.+-"):
+            begin -= 1
+        while begin < hint.start() and not text[begin].isalnum():
+            begin += 1
+        m = _EMAIL.match(text, begin)
+        if m and m.start() < hint.start() < m.end():
+            last = re.split(_DOT, m.group(), flags=re.IGNORECASE)[-1]
+            spaced = re.search(r"\sat\s", m.group(), re.IGNORECASE) and not re.search(r"\sdot\s|[\[({]", m.group(), re.IGNORECASE)
+            if re.fullmatch(r"[^\W\d_]{2,24}", last) and not spaced:
+                yield m.start(), m.end(), 3.0
 
 
 # --- checksums -----------------------------------------------------------------------------------
@@ -49,9 +57,26 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
-def mod97_key(digits: str) -> bool:
-    """Fifteen digits whose last two are 97 minus the rest of the first thirteen by 97."""
-    return len(digits) == 15 and 97 - int(digits[:13]) % 97 == int(digits[13:])
+def mod97_key(number: str) -> bool:
+    """Thirteen digits and two more that are 97 minus the rest of the first by 97; the departments 2A and 2B count as 19 and 18."""
+    digits = number.replace("2A", "19", 1).replace("2B", "18", 1) if number[5:7] in ("2A", "2B") else number
+    return len(digits) == 15 and digits.isascii() and digits.isdigit() and 97 - int(digits[:13]) % 97 == int(digits[13:])
+
+
+def pension_key(number: str) -> bool:
+    """Eight digits, a letter as two digits by its place, and two more digits, weighted; the last digit is the sum of the digits of the products modulo 10."""
+    if not re.fullmatch(r"\d{8}[A-Z]\d{3}", number):
+        return False
+    digits = number[:8] + f"{ord(number[8]) - 64:02d}" + number[9:]
+    return sum(sum(divmod(int(d) * w, 10)) for d, w in zip(digits, (2, 1, 2, 5, 7, 1, 2, 1, 2, 1, 2, 1))) % 10 == int(digits[12])
+
+
+def taxpayer_key(digits: str) -> bool:
+    """Twelve digits, the last two being weighted sums of those before, modulo 11 and 10."""
+    if len(digits) != 12:
+        return False
+    first, second = (7, 2, 4, 10, 3, 5, 9, 4, 6, 8), (3, 7, 2, 4, 10, 3, 5, 9, 4, 6, 8)
+    return all(sum(int(d) * w for d, w in zip(digits, ws)) % 11 % 10 == int(digits[len(ws)]) for ws in (first, second))
 
 
 def weighted_key(digits: str) -> bool:
@@ -79,44 +104,66 @@ ID_LABELS = [
     "passeport", "nir", "sécurité sociale", "carte d'identité", "cni", "numéro fiscal", "паспорт", "снилс", "инн", "удостоверени", "загранпаспорт",
 ]
 _AFTER_LABEL = re.compile(r"[\w-]{0,8}(?:\s+(?:nummer|numbers?|no|nr|number|серии|серия|номер|n|card))*\s*(?:[.°№#])?\s*[:№#]?\s*(?:no\.?|nr\.?|n°|№|number|is|lautet|est)?\s*:?\s*", re.IGNORECASE)
-_ID_FORMS = [re.compile(p) for p in (
-    r"[12]\s?\d\d\s?(?:0[1-9]|1[0-2]|[2-9]\d)\s?(?:\d\d|2[AB])\s?\d{3}\s?\d{3}\s?\d\d\b",
-    r"\d{2}\s?\d{6}\s?[A-Z]\s?\d{3}\b",
-    r"\d{3}-\d{3}-\d{3}[ -]\d{2}\b",
-    r"\d{2}\s?\d{2}\s*(?:№|N|n)?\s*\d{6}\b",
-    r"\d{3}[- ]\d{2}[- ]\d{4}\b",
-    r"\d{2}\s\d{3}\s\d{3}\s\d{3}\b",
-    r"[A-Z]{2}\s?\d{2}\s?\d{2}\s?\d{2}\s?[A-D]\b",
-    r"\d{2}[A-Z]{2}\d{5}\b",
-    r"[A-Z]{1,3}\d{6,9}[A-Z]?\b",
-    r"[A-Z][0-9A-Z]{8,9}\b(?<=\d)",
-    r"\d{9,12}\b",
+#: Shapes of numbers, with the key of the register that has that shape.
+_ID_FORMS = [(re.compile(p), key) for p, key in (
+    (r"[12]\s?\d\d\s?(?:0[1-9]|1[0-2]|[2-9]\d)\s?(?:\d\d|2[AB])\s?\d{3}\s?\d{3}\s?\d\d\b", mod97_key),
+    (r"\d{2}\s?\d{6}\s?[A-Z]\s?\d{3}\b", pension_key),
+    (r"\d{3}-\d{3}-\d{3}[ -]\d{2}\b", weighted_key),
+    (r"\d{2}\s?\d{2}\s*(?:№|N|n)?\s*\d{6}\b", None),
+    (r"\d{3}[- ]\d{2}[- ]\d{4}\b", None),
+    (r"\d{2}\s\d{3}\s\d{3}\s\d{3}\b", iso7064_key),
+    (r"[A-Z]{2}\s?\d{2}\s?\d{2}\s?\d{2}\s?[A-D]\b", None),
+    (r"\d{2}[A-Z]{2}\d{5}\b", None),
+    (r"[A-Z]{1,3}\d{6,9}[A-Z]?\b", None),
+    (r"[A-Z][0-9A-Z]{8,9}\b(?<=\d)", None),
+    (r"\d{12}\b", taxpayer_key),
+    (r"\d{11}\b", lambda n: iso7064_key(n) or weighted_key(n)),
+    (r"\d{9,10}\b", None),
 )]
-#: Unlabelled numbers count only in these shapes and with a checksum that holds.
-_BARE_ID = re.compile(r"(?<![\w-])(?:[12]\s\d\d\s(?:0[1-9]|1[0-2])\s\d\d\s\d{3}\s\d{3}\s\d\d|\d{3}-\d{3}-\d{3} \d{2})(?!\w)")
+#: Weights: a label with a number of a known shape; a key that holds or fails; Luhn's sum where a shape has no key of its own; a person or a thing before the number.
+LABELLED, KEY_HOLDS, KEY_FAILS, LUHN_HOLDS, PERSON_NEAR, THING_BEFORE, BARE = 2.0, 1.0, -0.4, 0.1, 0.5, -2.0, 1.0
+#: Shapes that count without a label; the key decides.
+_BARE_ID = re.compile(r"(?<![\w.,-])(?:[12]\s?\d\d\s?(?:0[1-9]|1[0-2])\s?(?:\d\d|2[AB])\s?\d{3}\s?\d{3}\s?\d\d|\d{3}-\d{3}-\d{3} \d{2}|\d{2}\s\d{6}\s[A-Z]\s\d{3})(?![\w,.-]*\d)")
 
 
-def _checked(value: str) -> float:
-    """What a checksum adds: registers have their own; a valid Luhn number is weak support."""
-    digits = re.sub(r"\D", "", value)
-    if mod97_key(digits) or weighted_key(digits) or iso7064_key(digits):
-        return 1.0
-    return 0.25 if len(digits) >= 9 and luhn(digits) else 0.0
+def checked(value: str, key: Callable[[str], bool] | None) -> float:
+    """What a checksum adds: the key of the number's register where it has one, else weak support by Luhn's sum."""
+    number = re.sub(r"[^0-9A-Z]", "", value)
+    if key is not None:
+        return KEY_HOLDS if key(number) else KEY_FAILS
+    return LUHN_HOLDS if number.isdigit() and len(number) >= 9 and luhn(number) else 0.0
 
 
 def labelled_id(text: str, end: int) -> tuple[int, int, float] | None:
-    """The number after a label that ends at ``end``."""
-    gap = _AFTER_LABEL.match(text, end, min(len(text), end + 48))
+    """The number after a label that ends at ``end``: of the readings from each word the best, of equal ones the first."""
+    gap = _AFTER_LABEL.match(text, end)
     # The gap may have eaten letters that belong to the number: try from every word in it.
     at = {gap.end()} | {end + m.start() for m in re.finditer(r"(?<!\w)\w", text[end : gap.end()])}
     for begin in sorted(at):
-        for form in _ID_FORMS:
+        for form, key in _ID_FORMS:
             m = form.match(text, begin)
             if m and not text[begin - 1 : begin].isalnum():
-                return begin, m.end(), 2.0 + _checked(m.group())
+                return begin, m.end(), LABELLED + checked(m.group(), key)
     return None
 
 
+def bare_ids(text: str) -> Iterator[tuple[int, int, float]]:
+    """Numbers without a label: their key must hold, and no thing may be named before them."""
+    for m in _BARE_ID.finditer(text):
+        key = next(k for form, k in _ID_FORMS if form.match(m.group()))
+        thing = _THING_LABEL.search(_before(text, m.start()))
+        yield m.start(), m.end(), BARE + checked(m.group(), key) + (THING_BEFORE if thing else 0.0)
+
+
+def _before(text: str, at: int, most: int = 48) -> str:
+    """The last characters before a place, each run of blanks as one: longer than any label that is looked for."""
+    begin, out = at, ""
+    while begin and len(out) < most:
+        begin = max(0, begin - most)
+        out = re.sub(r"\s+", " ", text[begin:at])
+    return out[-most:]
+
+
 # --- phone numbers -------------------------------------------------------------------------------
 
 _PHONE = re.compile(r"(?<![\w.,:/@€$-])(?:\+\d|00\d|\(?\d)[\d  ()./-]{5,24}\d(?![\w]|[.,-]\d|/\d|@)")
@@ -138,7 +185,7 @@ def phones(text: str) -> Iterator[tuple[int, int, float]]:
         digits = re.sub(r"\D", "", value)
         if not 9 <= len(digits) <= 15 or value.count("(") != value.count(")"):
             continue
-        before = text[max(0, begin - 28) : begin]
+        before = _before(text, begin)
         if re.search(r"\d{4}-\d\d-\d\d", value) or re.fullmatch(r"(\d)\1+", digits):
             continue
         score = 2.0 if _PHONE_STRONG.fullmatch(value) else 1.0 if _PHONE_WEAK.fullmatch(value) else 0.0
@@ -158,27 +205,48 @@ _UP = "A-ZÀ-ÖØ-ÞА-ЯЁŒ"
 _PLACE = rf"[{_UP}][\w'’]+(?:-[\w'’]+)*"
 _TOWN = rf"{_PLACE}(?:[ ]{_PLACE}){{0,2}}"
 _G = r",\s{1,12}"
-_EN_WAY = r"(?:Street|St\.?|Road|Rd\.?|Lane|Ln\.?|Avenue|Ave\.?|Drive|Dr\.?|Court|Ct\.?|Boulevard|Blvd\.?|Square|Sq\.?|Way|Close|Terrace|Row|Crescent|Gardens|Parkway|Pkwy\.?|Mews|Walk)"
+#: What streets are called; anchors and patterns are made of the same lists.
+WAYS = {
+    "en": ["Street", "St", "Road", "Rd", "Lane", "Ln", "Avenue", "Ave", "Drive", "Dr", "Court", "Ct", "Boulevard", "Blvd", "Square", "Sq", "Way", "Close", "Terrace", "Row", "Crescent", "Gardens", "Parkway", "Pkwy", "Mews", "Walk"],
+    "de": ["straße", "strasse", "str.", "gasse", "allee", "weg", "platz", "ring", "damm", "ufer", "graben", "stieg", "markt", "hof", "berg"],
+    "fr": ["rue", "avenue", "av.", "impasse", "boulevard", "bd", "place", "pl.", "allée", "chemin", "quai", "cours", "route", "square", "passage"],
+    "ru": ["ул", "улица", "пр", "просп", "проспект", "пер", "переулок", "наб", "бул", "пл", "ш"],
+}
+#: Words before the name of a street that an address can have, and of which it begins at the first.
+WORDS_BEFORE = 8
+_EN_WAY = "(?:" + "|".join(rf"{w}\.?" for w in sorted(WAYS["en"], key=len, reverse=True)) + ")"
+_DE_WAY = "(?:" + "|".join(f"[{w[0].upper()}{w[0]}]{re.escape(w[1:])}" for w in WAYS["de"]) + ")"
+_FR_WAY = "(?:" + "|".join(re.escape(w) + ("" if w.endswith(".") else r"\.?" if w == "bd" else "") for w in sorted(WAYS["fr"], key=len, reverse=True)) + ")"
+_RU_WAY = "(?:" + "|".join(sorted(WAYS["ru"], key=len, reverse=True)) + ")"
 _FLAT = r"(?:Flat|Apt\.?|Apartment|Suite|Unit)\s{1,8}\d{1,4}[A-Za-z]?"
 _ADDRESSES = {
     "en": re.compile(rf"(?<![\w-])(?:{_FLAT}{_G})?\d{{1,5}}[A-Za-z]?\s{{1,8}}(?:{_PLACE}\s{{1,8}}){{1,3}}{_EN_WAY}(?![\w])(?:{_G}{_FLAT})?(?:{_G}{_TOWN}(?:{_G}[A-Z]{{2}})?(?:\s{{1,8}}(?:\d{{5}}(?:-\d{{4}})?|[A-Z]{{1,2}}\d[\dA-Z]?\s?\d[A-Z]{{2}}))?)?"),
-    "de": re.compile(rf"(?<![\w-])(?:(?:An?|Am|Im|Zum|Zur|Auf|Unter|Hinter|In)\s{{1,4}}(?:de[rmn]\s{{1,4}})?|{_PLACE}(?:er|e)\s{{1,4}})?[{_UP}]?[\w-]*(?:[Ss]traße|[Ss]trasse|[Ss]tr\.|[Gg]asse|[Aa]llee|[Ww]eg|[Pp]latz|[Rr]ing|[Dd]amm|[Uu]fer|[Gg]raben|[Ss]tieg|[Mm]arkt|[Hh]of|[Bb]erg)\s{{1,4}}\d{{1,4}}\s?[a-z]?(?!\w)(?:{_G}(?:D-)?\d{{5}}\s{{1,4}}{_TOWN}|{_G}{_TOWN})?"),
-    "fr": re.compile(rf"(?<![\w-])\d{{1,4}}(?:\s?(?:bis|ter|quater))?,?\s{{1,8}}(?:rue|avenue|av\.|impasse|boulevard|bd\.?|place|pl\.|allée|chemin|quai|cours|route|square|passage)\s{{1,4}}(?:[\w'’-]+\s{{1,4}}){{0,4}}?{_PLACE}(?:\s{{1,4}}{_PLACE})?(?:{_G}(?:\d{{5}}\s{{1,4}})?{_PLACE}(?:\s{{1,4}}{_PLACE})?)?"),
-    "ru": re.compile(rf"(?<![\w-])(?:\d{{6}}{_G})?(?:(?:г|гор|пос|с|д)\.\s{{0,4}}{_TOWN}{_G})?(?:ул|улица|пр|просп|пер|наб|бул|пл|ш)\.?\s{{1,4}}{_PLACE}(?:\s{{1,4}}{_PLACE}){{0,2}}(?:{_G}(?:д(?:ом)?\.?\s{{0,4}})?\d{{1,4}}[а-я]?(?:/\d+)?(?!\w))?(?:{_G}(?:корп|стр)\.?\s{{0,4}}\d+)?(?:{_G}(?:кв|оф)\.?\s{{0,4}}\d{{1,5}})?(?:{_G}(?:г|гор|пос|с)\.\s{{0,4}}{_TOWN})?(?:{_G}\d{{6}}(?!\d))?"),
-}
-_ADDRESS_CUES = {
-    "en": ["Street", " St", "Road", " Rd", "Lane", " Ln", "Avenue", " Ave", "Drive", " Dr", "Court", " Ct", "Blvd", "Boulevard", "Square", " Sq", " Way", "Terrace", "Crescent", "Parkway"],
-    "de": ["straße", "strasse", "str.", "Str.", "Straße", "gasse", "Gasse", "allee", "Allee", "weg ", "Weg ", "platz ", "Platz ", "ring ", "Ring ", "damm ", "ufer ", "Ufer ", "graben ", "Graben ", "stieg ", "Stieg ", "markt ", "hof "],
-    "fr": [" rue ", " avenue ", " impasse ", " boulevard ", " bd ", " place ", " allée ", " chemin ", " quai ", " cours ", " route ", " passage ", "\nrue ", "\nplace ", "\nchemin ", "\navenue ", "\nimpasse ", "\nbd "],
-    "ru": ["ул.", "улица ", "просп.", "пер.", "наб.", "бул.", "пл. "],
+    "de": re.compile(rf"(?<![\w-])(?:(?:An?|Am|Im|Zum|Zur|Auf|Unter|Hinter|In)\s{{1,4}}(?:de[rmn]\s{{1,4}})?|{_PLACE}(?:er|e)\s{{1,4}})?(?=[{_UP}])[\w-]*{_DE_WAY}\s{{1,4}}\d{{1,4}}\s?[a-z]?(?!\w)(?:{_G}(?:D-)?\d{{5}}\s{{1,4}}{_TOWN}|{_G}{_TOWN})?"),
+    "fr": re.compile(rf"(?<![\w-])\d{{1,4}}(?:\s?(?:bis|ter|quater))?,?\s{{1,8}}{_FR_WAY}\s{{1,4}}(?:[\w'’-]+\s{{1,4}}){{0,4}}?{_PLACE}(?:\s{{1,4}}{_PLACE})?(?:{_G}(?:\d{{5}}\s{{1,4}})?{_PLACE}(?:\s{{1,4}}{_PLACE})?)?"),
+    "ru": re.compile(rf"(?<![\w-])(?:\d{{6}}{_G})?(?:(?:г|гор|пос|с|д)\.\s{{0,4}}{_TOWN}{_G})?(?<!\w){_RU_WAY}\.?\s{{1,4}}{_PLACE}(?:\s{{1,4}}{_PLACE}){{0,2}}(?:{_G}(?:д(?:ом)?\.?\s{{0,4}})?\d{{1,4}}[а-я]?(?:/\d+)?(?!\w))?(?:{_G}(?:корп|стр)\.?\s{{0,4}}\d+)?(?:{_G}(?:кв|оф)\.?\s{{0,4}}\d{{1,5}})?(?:{_G}(?:г|гор|пос|с)\.\s{{0,4}}{_TOWN})?(?:{_G}\d{{6}}(?!\d))?"),
 }
-
-
-def address_at(text: str, at: int, tongue: str) -> Iterator[tuple[int, int, float]]:
-    """Addresses around the cue at ``at``."""
-    for m in _ADDRESSES[tongue].finditer(text, max(0, at - 90), min(len(text), at + 150)):
-        if m.start() <= at + 8 and m.end() >= at and re.search(r"\d", m.group()):
+_WORD_START = re.compile(r"(?<!\S)\S")
+
+
+def address_at(text: str, end: int, way: str, tongue: str) -> Iterator[tuple[int, int, float]]:
+    """Addresses with the street word that ends at ``end``: read from each of the words before it that can belong to one."""
+    begin = end - len(way)
+    after, before = text[end : end + 1], text[begin - 1 : begin]
+    if after.isalnum() or (tongue != "de" and before.isalnum()) or (tongue in ("fr", "ru") and before and not before.isspace() and before not in ",(.;:"):
+        return
+    at = begin
+    for _ in range(WORDS_BEFORE + 1):
+        while at and not text[at - 1].isspace():
+            at -= 1
+        # What is in front of a word, such as a bracket, is no part of an address.
+        first = next((i for i in range(at, begin + 1) if text[i].isalnum()), begin)
+        m = _ADDRESSES[tongue].match(text, first)
+        if m and m.end() >= end and re.search(r"\d", m.group()):
             yield m.start(), m.end(), 2.5
+        while at and text[at - 1].isspace():
+            at -= 1
+        if not at:
+            break
 
 
 # --- names ---------------------------------------------------------------------------------------
@@ -192,114 +260,112 @@ _FORMS = [re.compile(p) for p in (
     rf"{_N},{_SP}(?:{_N}(?!\w)(?:{_SP}{_INIT})?|(?:{_INIT}{_SP}?){{1,2}})(?!\s?:)",
 )]
 _SURNAME = re.compile(rf"{_N}(?!\w)")
-_NAME_BEFORE = re.compile(rf"(?<!\w)((?:{_INIT}{_SP}?){{1,2}}{_N}|{_N},{_SP}{_N}(?:{_SP}{_INIT})?|{_N}(?:{_SP}{_INIT})?{_SP}{_N})$")
-#: What stands before a person's name.
+#: Roles, labels and words of correspondence that stand before a person's name, lower-cased.
 NAME_CUES = [
-    "should go to", "colleague", "Prepared by", "prepared by", "Written by", "written by", "form lists", "nterview with", "Author:", "Authors:", "Reviewer:", "Reviewed by", "Name:", "Operator", "Operator:", "From:", "To:", "Contact:", "contact", "Kind regards,", "Best regards,", "Regards,", "Sincerely,", "Dear",
-    "Erstellt von", "erstellt von", "Mit freundlichen Grüßen", "Mit freundlichen Grüßen,", "Antrag steht", "beantwortet", "Prüfer:", "Prüferin:", "Autor:", "Ansprechpartner:", "Kollege", "Kollegin",
-    "Opérateur :", "Opérateur:", "Opératrice :", "Rédigé par", "rédigé par", "dossier mentionne", "écrire à", "Nom :", "Nom:", "Cordialement,", "Auteur :", "collègue", "Contact :",
-    "анкете указан", "анкете указана", "принимает", "возвращает", "Подготовил", "Подготовила", "ФИО:", "Оператор:", "С уважением,", "Автор:", "Коллега", "коллега", "Контакт:",
+    "colleague", "operator", "author", "authors", "reviewer", "contact", "name", "from", "to", "cc", "attn", "dear", "regards", "sincerely", "interview with", "prepared by", "written by", "reviewed by", "signed by", "approved by", "checked by", "engineer", "technician", "applicant", "patient", "participant",
+    "kollege", "kollegin", "prüfer", "prüferin", "autor", "ansprechpartner", "erstellt von", "geprüft von", "bearbeitet von", "freundlichen grüßen", "bediener", "techniker", "gespräch mit", "von", "an",
+    "opérateur", "opératrice", "auteur", "collègue", "nom", "rédigé par", "vérifié par", "établi par", "cordialement", "écrire à", "technicien", "entretien avec", "à", "par",
+    "оператор", "автор", "коллега", "коллегой", "контакт", "фио", "подготовил", "подготовила", "проверил", "проверила", "составил", "составила", "с уважением", "инженер", "техник", "беседа с", "указан", "указана",
 ]
+#: Words that begin sentences and headings, whether or not a lexicon has them.
+STARTERS = ["please", "laut", "the", "this", "when", "while", "after", "where", "figure", "table", "section", "chapter", "national", "insurance", "number", "write", "call", "our", "my", "his", "her", "we", "it", "here", "gone", "late", "she", "re"]
 #: Titles, which are not part of a name.
 TITLES = ["Dr.", "Dr", "Prof.", "Professor", "Mr", "Mr.", "Mrs", "Mrs.", "Ms", "Ms.", "Miss", "Herr", "Herrn", "Frau", "Mme", "Mlle", "Monsieur", "Madame", "г-н", "г-жа", "г-ну", "господин", "госпожа", "Инженер", "инженер", "доктор", "Доктор", "профессор", "Ing.", "Dipl.-Ing."]
-#: What a person named before it does.
-NAME_VERBS = [" calibrated the", " repaired the", " approved the", " can be reached", " signed for", " hat den ", " hat die ", " hat das ", " ist unter", " a vérifié", " a validé", " a réparé", " проверил", " проверила", " утвердил", " отремонтировал"]
+#: What people do, and how else a sentence may go on after its subject; prepositions before a person.
+NAME_ACTS = r"\s+(?:(?:calibrated|repaired|approved|signed|wrote|tested|checked|reported|reviewed|adjusted|installed|replaced|confirmed|thinks|said|says|asked|noted|meint|sagt|prüfte|schrieb|pense|dit|vérifie|считает|сказал\w*|принимает|возвращает|проверил\w*|утвердил\w*|отремонтировал\w*|откалибровал\w*|написал\w*|измерил\w*|заменил\w*|настроил\w*)\b|hat\s+(?:de[nmr]|die|das|eine?n?)\b|a\s+\w+[éit]\b|can be reached|is reached)"
+NAME_VERBS = r"\s+(?:was|is|has|had|can|will|hat|ist|wird|kann|a|est|peut|может)\b"
+NAME_PREPOSITIONS = r"(?:^|[\s(])(?:by|with|to|from|for|of|lists|names|von|mit|an|für|bei|par|avec|à|de|от|с|со|к|для|у)$"
 #: Nouns of things that carry a person's name.
-_THING = re.compile(r"[ \t\n]+(?:method|filter|equation|test|law|effect|process|number|model|transform|theorem|algorithm|scale|index|constant|instruments?|gmbh|ag|inc|ltd|llc|corp|company|university|institute|laborator\w+|method\w*|verfahren|gleichung|filter\w*|метод\w*|уравнени\w+|фильтр\w*|and the \S+ equation)\b", re.IGNORECASE)
-_M_TITLE = re.compile(rf"(?<![\w.])M\.\s({_N})(?=\s+(?:a|est|et|pense|dit)\b)")
+_THING = re.compile(r"(?:[ \t\n]+|-)(?:method|filter|equation|test|law|effect|process|number|model|transform|theorem|algorithm|scale|index|constant|instruments?|gmbh|ag|inc|ltd|llc|corp|company|university|institute|laborator\w+|street|road|lane|method\w*|verfahren|gleichung|filter\w*|метод\w*|уравнени\w+|фильтр\w*|and the \S+ equation)\b", re.IGNORECASE)
+_THING_BEFORE = re.compile(r"(?:méthode|équation|filtre|loi|effet|théorème|метод\w*|уравнени\w+|фильтр\w*|закон\w*|supplied by|geliefert von|fourni par)(?: de| d')?$", re.IGNORECASE)
+_CAPITAL = re.compile(rf"(?<![\w@.'’+-])[{_UP}](?:[\w'’]|\.)")
+#: Weights of a name: a title, a cue or a role before it, a given name, an initial, a part that no lexicon knows, a preposition before or a verb after, an act of a person after, another item right after, a thing named after a person.
+TITLE, CUE, GIVEN, INITIAL, UNKNOWN, AROUND, ACT, ITEM_NEAR, THING = 2.0, 1.25, 1.25, 1.0, 0.5, 0.5, 1.5, 1.5, -3.0
+_AMOUNT = re.compile(r"[\d°%][ \xa0]?\Z")
+_ACTS, _VERBS = re.compile(NAME_ACTS), re.compile(NAME_VERBS)
+_M_TITLE = re.compile(rf"(?<![\w.])M\.\s({_N})(?=\s+(?:a|est|et|peut|pense|dit)\b)")
 
 
 class Finder:
-    """Finds items; holds the lexicon, the given names and the automaton of anchors."""
+    """Finds items; holds the lexicon, the given names and the automata of anchors."""
 
     def __init__(self, lexicon: list[str], given: list[str]):
         self.words = frozenset(lexicon)
         self.given = frozenset(g.lower() for g in given)
-        self.automaton = ahocorasick.Automaton()
+        # Words of cues, titles, labels and streets are no part of a name.
+        self.never = frozenset(w for x in (*NAME_CUES, *ID_LABELS, *(t.lower() for t in TITLES), *(w.lower() for w in WAYS["en"]), *STARTERS) for w in re.findall(r"[^\W\d_]{2,}", x)) - self.given
+        self.ways = ahocorasick.Automaton()
         anchors: dict[str, list[tuple[str, str]]] = {}
-        for kind, xs in (("cue", NAME_CUES), ("title", TITLES), ("verb", NAME_VERBS), *((f"address-{t}", xs) for t, xs in _ADDRESS_CUES.items())):
-            for x in xs:
-                anchors.setdefault(x, []).append((kind, x))
-        for g in given:
-            for x in {g, g.upper()}:
-                anchors.setdefault(x, []).append(("given", x))
+        for tongue, ways in WAYS.items():
+            for way in ways:
+                for x in {way, way.capitalize()} if tongue == "de" else {way}:
+                    anchors.setdefault(x, []).append((tongue, x))
         for x, hits in anchors.items():
-            self.automaton.add_word(x, hits)
-        self.automaton.make_automaton()
+            self.ways.add_word(x, hits)
+        self.ways.make_automaton()
         self.labels = ahocorasick.Automaton()  # over lower-cased text
         for x in ID_LABELS:
             self.labels.add_word(x, x)
         self.labels.make_automaton()
 
-    def _unknown(self, name: str) -> bool:
-        """A part of the name is in no lexicon."""
-        return any(p.lower() not in self.words for p in re.findall(r"[^\W\d_]{2,}", name))
+    def _parts(self, name: str) -> list[str]:
+        return [p.lower() for p in re.findall(r"[^\W\d_]{2,}", name)]
 
     def _plausible(self, name: str) -> bool:
-        parts = [p for p in re.findall(r"[^\W\d_]{2,}", name)]
-        return bool(parts) and not any(p.lower() in self.words and p.lower() not in self.given for p in parts) and not re.search(r"\d", name)
-
-    def _name_after(self, text: str, at: int, surname: bool) -> tuple[int, int] | None:
-        gap = re.compile(r"[\s:]{0,12}").match(text, at)
-        begin = gap.end()
-        while (t := _TITLE_RUN.match(text, begin)) and t.end() > begin:
-            begin, surname = t.end(), True
+        """No part is an ordinary word, and one is not just a given name."""
+        parts = self._parts(name)
+        return bool(parts) and not any((p in self.words and p not in self.given) or p in self.never for p in parts) and not re.search(r"\d", name)
+
+    def _readings(self, text: str, at: int) -> Iterator[tuple[int, int]]:
+        """Spans from ``at`` that have the form of a name of several parts."""
         for form in _FORMS:
-            if (m := form.match(text, begin)) and self._plausible(m.group()):
-                return begin, m.end()
-        if surname and (m := _SURNAME.match(text, begin)) and self._plausible(m.group()):
-            return begin, m.end()
-        return None
-
-    def names(self, text: str, hits: list[tuple[int, str, str]], contacts: list[tuple[int, int, str]]) -> Iterator[tuple[int, int, float]]:
-        for end, kind, x in hits:
-            if kind in ("cue", "title"):
-                begin = end - len(x)
-                if text[begin - 1 : begin].isalnum() and begin or text[end : end + 1].isalnum():
-                    continue
-                span = self._name_after(text, end, kind == "title")
-                if span:
-                    yield self._scored(text, span, 2.0)
-            elif kind == "given":
-                begin = end - len(x)
-                if (begin and (text[begin - 1].isalnum() or text[begin - 1] in "._-@+")) or text[end : end + 1].isalnum() or text[end : end + 1] in ("_", "@", "+"):
-                    continue
-                for form in _FORMS[1:2]:
-                    if (m := form.match(text, begin)) and self._unknown(m.group()[len(x) :]) and self._plausible(m.group()):
-                        yield self._scored(text, (begin, m.end()), 2.0)
-                m = re.compile(rf"({_N}),{_SP}$").search(text, max(0, begin - 60), begin)
-                if m and self._plausible(m.group(1)):
-                    tail = re.compile(rf"(?:{_SP}{_INIT})?").match(text, end)
-                    yield self._scored(text, (m.start(), tail.end()), 2.0)
-            elif kind == "verb":
-                if m := _NAME_BEFORE.search(text, max(0, end - len(x) - 70), end - len(x)):
-                    begin = m.start(1)
-                    if x.startswith(" a ") and re.match(rf"M\.\s{_N}$", m.group(1)):
-                        begin += 2 + len(re.match(r"\s*", m.group(1)[2:]).group())  # the French title
-                    if self._plausible(m.group(1)) and self._unknown(m.group(1)):
-                        yield self._scored(text, (begin, m.end(1)), 2.0)
-        for begin, _, kind in contacts:
-            gap = {"email": r"\s*[<(|]\s*$", "address": r",\s*$", "phone": r"\s*[(|,]\s*$", "id_number": r"(?!)"}[kind]
-            head = text[max(0, begin - 80) : begin]
-            if (g := re.search(gap, head)) and (m := _NAME_BEFORE.search(head[: g.start()])) and self._plausible(m.group(1)) and self._unknown(m.group(1)):
-                shift = max(0, begin - 80)
-                yield self._scored(text, (shift + m.start(1), shift + m.end(1)), 2.0)
+            if (m := form.match(text, at)) and self._plausible(m.group()) and not _M_TITLE.match(text, at):
+                yield at, m.end()
+
+    def _score(self, text: str, begin: int, end: int, items: list[tuple[int, int, str]], german: bool) -> float:
+        """Adds up what speaks for a person between ``begin`` and ``end``."""
+        name, before = text[begin:end], _before(text, begin)
+        parts = self._parts(name)
+        score = UNKNOWN * min(2, sum(p not in self.given and p not in self.words for p in parts))
+        score += GIVEN * any(p in self.given for p in parts) + INITIAL * bool(re.search(rf"(?<!\w){_INIT}", name))
+        if german and score <= 2 * UNKNOWN and not name.isupper():
+            score = UNKNOWN  # nouns have capitals there
+        if _TITLE_BEFORE.search(before):
+            score += TITLE
+        elif _CUE_BEFORE.search(before):
+            score += CUE
+        elif re.search(NAME_PREPOSITIONS, before.rstrip()):
+            score += AROUND
+        if _ACTS.match(text, end):
+            score += ACT
+        elif _VERBS.match(text, end):
+            score += AROUND
+        if any(e <= b2 and _ITEM_GAP.fullmatch(text, e, b2) for b2, _, _ in items for e in (end,) if 0 <= b2 - e <= 80):
+            score += ITEM_NEAR
+        if _THING.match(text, end) or _THING_BEFORE.search(before.rstrip()):
+            score += THING
+        if "\n" in name:
+            score -= AROUND
+        return score + (end - begin) / 1000  # of readings of one place the longer is better
+
+    def names(self, text: str, items: list[tuple[int, int, str]]) -> Iterator[tuple[int, int, float]]:
+        german = len(_GERMAN.findall(text)) > len(_NOT_GERMAN.findall(text))
+        for c in _CAPITAL.finditer(text):
+            before = _before(text, c.start(), 16)
+            if text[c.start() + 1] == "." and _AMOUNT.search(text, max(0, c.start() - 3), c.start()):
+                continue  # a unit
+            spans = list(self._readings(text, c.start()))
+            titled = bool(_TITLE_BEFORE.search(before))
+            if titled and not spans and (m := _SURNAME.match(text, c.start())) and self._plausible(m.group()) and text[c.start() : m.end()] not in TITLES:
+                spans = [(c.start(), m.end())]
+            for begin, end in spans:
+                yield begin, end, self._score(text, begin, end, items, german)
         for m in _M_TITLE.finditer(text) if "M. " in text else ():
             if self._plausible(m.group(1)):
-                yield self._scored(text, m.span(1), 2.5)
-
-    def _scored(self, text: str, span: tuple[int, int], score: float) -> tuple[int, int, float]:
-        begin, end = span
-        name = text[begin:end]
-        if any(p.lower() in self.given for p in re.findall(r"[^\W\d_]+", name)):
-            score += 0.5
-        if _THING.match(text, end):
-            score -= 3.0
-        return begin, end, score + (end - begin) / 1000  # of readings of one place the longer is better
+                yield *m.span(1), 2.5 + (THING if _THING.match(text, m.end(1)) else 0.0) + 1.0
 
     def find(self, text: str) -> list[tuple[int, int, str]]:
         """(begin, end, kind) of items, in order and without overlaps."""
-        hits = [(end + 1, kind, x) for end, xs in self.automaton.iter(text) for kind, x in xs]
         found = [(b, e, "email", s) for b, e, s in emails(text)]
         if any(c.isdigit() for c in text):
             lower = text.lower()
@@ -308,27 +374,37 @@ class Finder:
             for end, x in self.labels.iter(lower):
                 end += 1
                 if (end == len(x) or not text[end - len(x) - 1].isalnum()) and (hit := labelled_id(text, end)):
-                    found.append((hit[0], hit[1], "id_number", hit[2]))
-            for end, kind, x in hits:
-                if kind.startswith("address"):
-                    found += [(b, e, "address", s) for b, e, s in address_at(text, end, kind[8:])]
-            found += [(m.start(), m.end(), "id_number", 1.0 + _checked(m.group())) for m in _BARE_ID.finditer(text)]
+                    near = PERSON_NEAR if self._person_before(text, end - len(x)) else 0.0
+                    found.append((hit[0], hit[1], "id_number", hit[2] + near))
+            for end, hits in self.ways.iter(text):
+                for tongue, way in hits:
+                    found += [(b, e, "address", s) for b, e, s in address_at(text, end + 1, way, tongue)]
+            found += [(b, e, "id_number", s) for b, e, s in bare_ids(text)]
             found += [(b, e, "phone", s) for b, e, s in phones(text)]
         kept = self._without_overlaps([x for x in found if x[3] >= THRESHOLD])
-        named = [(b, e, "name", s) for b, e, s in self.names(text, hits, [(b, e, k) for b, e, k, _ in kept])]
+        named = [(b, e, "name", s) for b, e, s in self.names(text, [(b, e, k) for b, e, k, _ in kept])]
         kept = self._without_overlaps(kept + [x for x in named if x[3] >= THRESHOLD])
         return [(b, e, k) for b, e, k, _ in sorted(kept)]
 
+    def _person_before(self, text: str, at: int) -> bool:
+        """A capitalised word that no lexicon knows, or an initial, stands shortly before."""
+        return any(self._plausible(m.group()) for m in _SURNAME.finditer(_before(text, at)))
+
     @staticmethod
     def _without_overlaps(found: list[tuple[int, int, str, float]]) -> list[tuple[int, int, str, float]]:
         kept: list[tuple[int, int, str, float]] = []
-        for x in sorted(set(found), key=lambda x: (KINDS.index(x[2]), x[0] - x[1], -x[3])):
+        for x in sorted(set(found), key=lambda x: (KINDS.index(x[2]), -x[3] if x[2] == "name" else 0, x[0] - x[1], -x[3])):
             if all(x[1] <= y[0] or y[1] <= x[0] for y in kept):
                 kept.append(x)
         return kept
 
 
-_TITLE_RUN = re.compile("(?:(?:" + "|".join(re.escape(t) for t in sorted(TITLES, key=len, reverse=True)) + r")(?!\w)\s+)?")
+_TITLE_BEFORE = re.compile(r"(?<![\w.])(?:" + "|".join(re.escape(t) for t in sorted(TITLES, key=len, reverse=True)) + r")\s$")
+_CUE_BEFORE = re.compile(r"(?<!\w)(?:" + "|".join(re.escape(t) for t in sorted(NAME_CUES, key=len, reverse=True)) + r")\s?[:,]?\s$", re.IGNORECASE)
+#: Between a name and an item that belongs to it: a bracket or comma, or a few words within the sentence.
+_ITEM_GAP = re.compile(r"\s*[<(|,]?\s*|[\s,]+(?:[\w°№'’:-]+\.?[\s:]+){1,6}")
+#: Words that tell German from the other languages.
+_GERMAN, _NOT_GERMAN = re.compile(r"(?<!\w)(?:der|die|das|und|ist|wird|nicht|mit|von|bei)(?!\w)"), re.compile(r"(?<!\w)(?:the|and|is|of|with|la|le|les|et|est|и|в|на|не|что)(?!\w)")
 
 
 @lru_cache(maxsize=2)

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from pagewright.llm.pairs import LanguageModel, defective_pairs, ending, is_refusal, shortened_versions
 from pagewright.llm.pieces import oversized, split_oversized, split_text, words_within
-from pagewright.llm.pii import Finder, iso7064_key, luhn, mod97_key, personal_items, redacted, weighted_key
+from pagewright.llm.pii import Finder, iso7064_key, luhn, mod97_key, pension_key, personal_items, redacted, taxpayer_key, weighted_key
 from pagewright.llm.quality import FEATURES, chunk_kinds, induce_rules, not_prose, rules_to_sql, seed_label, text_statistics
 from pagewright.llm.scans import Corrector, is_page_number, repaired_scans, running_key, scan_noise
 
@@ -195,6 +195,9 @@ def test_checksums():
     assert mod97_key("255081416802538") and not mod97_key("255081416802539")
     assert weighted_key("11223344595") and not weighted_key("11223344596")
     assert iso7064_key("86095742719") and not iso7064_key("86095742718")
+    corsica = lambda d: f"2550{8}{d}168025" + f"{97 - int(f'25508{dict(A='19', B='18')[d[1]]}168025') % 97:02d}"
+    assert mod97_key(corsica("2A")) and mod97_key(corsica("2B")) and not mod97_key(corsica("2A").replace("2A", "2B")) and not mod97_key("2550AA416802538")
+    assert pension_key("15070649C103") and not pension_key("15070649C104") and taxpayer_key("500100732259") and not taxpayer_key("500100732258") and not taxpayer_key("5001")
 
 
 CASES = [
@@ -212,10 +215,29 @@ CASES = [
     ("Адрес: 000243, г. Новоречинск, ул. Малая Тростниковая, д. 202", {("address", "000243, г. Новоречинск, ул. Малая Тростниковая, д. 202")}),
     ("According to Dr. Ruthcroft, the beam drifted. The Ruthcroft method needs 3 steps.", {("name", "Ruthcroft")}),
     ("Supplied by Gladcroft Instruments GmbH under contract 6340/36.", set()),
+    ("The request names Zorvin Tarleth with SSN 666-36-7238, who was asked for by Q. Umberane. Laut Frau Dr. Voglreich ist es so. Herr Tannau hat den Lens.", {("name", "Zorvin Tarleth"), ("id_number", "666-36-7238"), ("name", "Q. Umberane"), ("name", "Voglreich"), ("name", "Tannau")}),
+    ("The interview with J. Holmgard was at 90.0 °C. Deliveries ended. M. Estremont a validé le lens.", {("name", "J. Holmgard"), ("name", "Estremont")}),
+    ("Der Versand an Zilda Grauau (z.g@mail.example) kostet nichts.", {("name", "Zilda Grauau"), ("email", "z.g@mail.example")}),
+    ("x" * 300 + ".long@" + "d" * 150 + ".example", {("email", "x" * 300 + ".long@" + "d" * 150 + ".example")}),
+    ("Passport no." + " " * 90 + "XK6394451, tel." + " " * 60 + "0199005448", {("id_number", "XK6394451"), ("phone", "0199005448")}),
+    ("| bearing 11 | the lens 2) Serial 428-44-8350 ships to 12 Long Beacon Hill Close, Tarnside.", {("address", "12 Long Beacon Hill Close, Tarnside")}),
     ("", set()),
 ]
 
 
+def test_checksums_decide(monkeypatch):
+    from pagewright.llm import pii
+
+    f = Finder(["dossier", "la", "note"], ["Cora"])
+    found = lambda text: {text[b:e] for b, e, k in f.find(text) if k == "id_number"}
+    right, wrong = "255081416802538", "255081416802539"
+    assert found(f"dossier {right} la note") == {right} and found(f"dossier {wrong} la note") == set()
+    assert found(f"NIR: {right}") == {right} and found(f"NIR: {wrong}") == set() and found(f"Cora Perruvel, NIR: {wrong}") == {wrong}
+    assert found("112-233-445 95") == {"112-233-445 95"} and found("112-233-445 96") == set() and found("serial 112-233-445 95") == set()
+    monkeypatch.setattr(pii, "checked", lambda value, key: 0.0)
+    assert found(f"dossier {right} la note") == set() and found(f"NIR: {wrong}") == {wrong}
+
+
 @pytest.mark.parametrize(("text", "want"), CASES)
 def test_items(text, want):
     f = Finder(["the", "lens", "beam"], ["Ada", "Cora"])
