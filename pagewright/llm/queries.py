@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pagewright.llm.budget import BudgetState, signed_deltas, snapshot, token_budget
+from pagewright.llm.budget import token_budget
 from pagewright.llm.encoding import encode_corpus
 from pagewright.llm.mixing import mix_documents
 from pagewright.llm.neardup import similar_groups, similar_pairs
@@ -15,7 +16,7 @@ from pagewright.llm.pieces import oversized, split_oversized
 from pagewright.llm.pii import personal_items, redacted
 from pagewright.llm.quality import chunk_kinds, not_prose
 from pagewright.llm.scans import repaired_scans, scan_noise
-from pagewright.plans.lineage import materialize
+from pagewright.plans.lineage import shared_folder
 from pagewright.sources.tables import table
 
 #: Day before which the earlier snapshot of the incremental budget ends.
@@ -50,16 +51,28 @@ def p4_repaired(spark: SparkSession, sf: str) -> DataFrame:
     return repaired_scans(table(spark, sf, "chunks"), table(spark, sf, "lexicon"))
 
 
+def _state(spark: SparkSession) -> str:
+    """A folder of its own for each run, in the shared folder; a deployment names a lasting one."""
+    return f"{shared_folder(spark).rstrip('/')}/budget-{uuid.uuid4().hex}"
+
+
 def p5_token_budget(spark: SparkSession, sf: str) -> DataFrame:
-    return token_budget(table(spark, sf, "chunks"), table(spark, sf, "doc_catalog"))
+    return token_budget(table(spark, sf, "chunks"), table(spark, sf, "doc_catalog"), _state(spark))
 
 
 def p5_incremental(spark: SparkSession, sf: str) -> DataFrame:
-    """The same totals from the state of an earlier day and the signed deltas of what came after it."""
-    chunks, catalog = table(spark, sf, "chunks"), table(spark, sf, "doc_catalog")
-    state = snapshot(chunks.where(F.col("metadata.ingest_ts") < SNAPSHOT_DAY))
-    before = BudgetState(materialize(state.counts, "budget-counts"), materialize(state.units, "budget-units"))
-    return token_budget(chunks, catalog, before=before, cube=signed_deltas(None, before, catalog))
+    """The same totals from an earlier state and signed deltas.
+
+    The earlier state has what was ingested before a day, with text that was changed later in
+    every seventh chunk (by hash), documents that were removed later, and another catalog: the
+    languages as sources. All of that has to go again.
+    """
+    chunks, catalog, folder = table(spark, sf, "chunks"), table(spark, sf, "doc_catalog"), _state(spark)
+    early = chunks.where(F.col("metadata.ingest_ts") < SNAPSHOT_DAY)
+    changed = early.withColumn("content", F.when(F.pmod(F.xxhash64("chunk_id"), F.lit(7)) == 0, F.concat("content", F.lit(" (draft)"))).otherwise(F.col("content")))
+    removed = early.where(F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0).withColumns({"doc_id": F.concat(F.lit("gone-"), "doc_id"), "chunk_id": F.concat(F.lit("gone-"), "chunk_id")})
+    token_budget(changed.unionByName(removed), catalog.withColumn("source", F.col("lang")), folder)
+    return token_budget(chunks, catalog, folder)
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:

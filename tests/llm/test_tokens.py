@@ -3,7 +3,7 @@ import random
 import pyarrow as pa
 import pytest
 
-from pagewright.llm.budget import add_deltas, budget_report, signed_deltas, snapshot, token_budget
+from pagewright.llm.budget import signed_deltas, snapshot, token_budget
 from pagewright.llm.encoding import encode_corpus
 from pagewright.llm.mixing import mix_documents, water_fill
 from pagewright.llm.tokenizer import Tokenizer, encoder
@@ -32,21 +32,33 @@ def cells(df):
     return sorted((r.type, r.source, r.lang, r.domain, r.n_chunks, r.n_tokens) for r in df.collect())
 
 
-def test_budget_by_deltas_equals_budget_from_scratch(spark, make_chunks):
-    catalog = spark.createDataFrame([("d1", "s1", "EN_en", "x"), ("d1", "s1", "EN_en", "x"), ("d2", None, "", None)], "doc_id string, source string, lang string, domain string")
-    old = make_chunks([("c1", "one two"), ("c1", "one two"), ("c2", "gone soon"), ("c3", "same"), ("c4", None), ("c5", "  "), ("c6", "failed", {"status": "failed"})])
-    new = make_chunks([("c1", "one two three"), ("c3", "same"), ("c7", "added text", {"doc_id": "d2", "type": "Image-OCR "}), ("c8", "same", {"doc_id": "d3"})])
-    before = snapshot(old)
-    cube = signed_deltas(None, before, catalog)
-    after = snapshot(new, before=before)
-    deltas = signed_deltas(before, after, catalog)
-    assert cells(add_deltas(cube, deltas)) == cells(signed_deltas(None, snapshot(new), catalog))
-    assert min(r.n_tokens for r in deltas.collect()) < 0
-    report = budget_report(add_deltas(cube, deltas)).collect()
+def test_budget_by_deltas_equals_budget_from_scratch(spark, make_chunks, tmp_path, monkeypatch):
+    from pagewright.llm import budget
+
+    catalog = lambda rows: spark.createDataFrame(rows, "doc_id string, source string, lang string, domain string")
+    first = catalog([("d1", "s1", "EN_en", "x"), ("d1", "s1", "EN_en", "x"), ("d2", None, "", None), ("d4", "s4", "de", "y")])
+    second = catalog([("d1", "s9", "en", "x"), ("d2", "s2", "fr", None)])
+    old = make_chunks([("c1", "one two"), ("c1", "one two"), ("c2", "gone soon"), ("c3", "same"), ("c4", None), ("c5", "  "), ("c6", "failed", {"status": "failed"}), ("g1", "of a removed document", {"doc_id": "d4"})])
+    new = make_chunks([("c1", "one two three"), ("c3", "same"), ("c7", "added text", {"doc_id": "d2", "type": "Image-OCR "}), ("c8", "same", {"doc_id": "d3"}), ("c9", "added text"), ("c9", "added text")])
+    folder = f"file://{tmp_path}/state"
+    assert cells(budget.snapshot(old, first).cube) == [("text", "s1", "en", "x", 3, 5), ("text", "s4", "de", "y", 1, 4)]
+    token_budget(old, first, folder)
+    before = budget.read_state(spark, folder)
+    encoded, count = [], budget.with_token_count
+    monkeypatch.setattr(budget, "with_token_count", lambda rows, *a, **k: encoded.extend(r.content for r in rows.collect()) or count(rows, *a, **k))
+    after = snapshot(new, second, before=before)
+    assert sorted(encoded) == ["added text", "one two three"]  # unseen contents only, each once
+    assert cells(after.cube) == cells(snapshot(new, second).cube) == cells(budget.cube_of(after.units))
+    deltas = signed_deltas(before.units, after.units)
+    assert {r.doc_id for r in deltas.where("n_chunks < 0").collect()} == {"d1", "d4"}
+    report = token_budget(new, second, folder).collect()
     total = next(r for r in report if r.by == "all")
-    assert total.n_chunks == 4 and total.n_tokens == sum(r.n_tokens for r in report if r.by == "type")
-    assert {r.lang for r in report if r.by == "lang"} == {"en", "unknown"}
-    assert token_budget(new.where("false"), catalog).collect() == []
+    assert total.n_chunks == 5 and total.n_tokens == sum(r.n_tokens for r in report if r.by == "type")
+    assert {r.source for r in report if r.by == "source"} == {"s9", "s2", "unknown"}
+    assert sorted(map(str, token_budget(new, second, folder).collect())) == sorted(map(str, report))  # nothing changed
+    with pytest.raises(ValueError):
+        budget.read_state(spark, folder, Tokenizer("byte_bpe_multi_50k"))
+    assert token_budget(new.where("false"), second, folder).collect() == [] and token_budget(new.where("false"), second, folder + "2").collect() == []
 
 
 def plain_water_fill(shares, caps, total):
