@@ -1,10 +1,11 @@
 """Problem 4: repairing text read from scanned pages.
 
-Running lines are lines at page edges that recur, up to misread characters and an added
-page number, on several pages of their document. Page numbers are lines that only number
-their page. What remains is joined to paragraphs; words torn at line ends are put together
-where the vocabulary of the whole corpus knows the whole but not both halves; words
-outside running lines whose misread form maps to one word of the lexicon are corrected.
+Running lines are lines at page edges that recur, up to misread, dropped or added characters
+and an added page number, on several pages of their document. Page numbers are lines that
+only number their page: with its own number, or one of a sequence that keeps its distance to
+the pages of the document. What remains is joined to paragraphs; words torn at line ends are
+put together by the vocabulary of the lexicon and the whole corpus; words outside running
+lines whose misread form maps to one word of the lexicon are corrected.
 """
 
 from __future__ import annotations
@@ -23,9 +24,14 @@ from pagewright.plans.lineage import materialize
 LEAST_CONFIDENCE = 60.0
 #: Pages of a document that a line must recur on.
 LEAST_PAGES = 3
-#: Times that a word must occur inside lines to belong to the corpus vocabulary.
-LEAST_COUNT = 3
+#: Times, and share of all words, that a word must occur inside lines to belong to the corpus vocabulary: fragments of torn words grow in number with the corpus, but not in share.
+LEAST_COUNT, LEAST_SHARE = 3, 5e-6
+#: Lines at either end of a chunk that witness recurrence; others count where a page ends inside the chunk.
 EDGE_LINES = 2
+#: Characters by which the keys of a running line may differ, of keys at least so long; and length of the ends of which one must be equal.
+EDITS, LONG_KEY, KEY_END = 2, 12, 6
+#: Rows of text in one task of the passes in Python.
+ROWS_IN_PART = 8_000
 
 #: Characters that recognition confuses, as known from the literature on scanning. Each row is a class; several letters come first.
 LATIN_CLASSES = ["rn m", "cl d", "vv w", "ii n", "c e é è ê", "f t", "i í ì ï 1 l | !", "o ö 0", "s 5 $", "g 9 q", "u n ü", "h b 6 8", "z 2", "a à ä"]
@@ -39,7 +45,7 @@ _DECORATED = re.compile(r"[^\W\d_]|/|^[\W_]+\d+[\W_]+$")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _TOKEN = re.compile(r"(?<![\w|!$])(?=[\w|!$]*[^\W\d_])[\w|!$]+(?![\w$])")
 _GAP = re.compile(rf"(?<=[^\W_|!$])([{BREAK_MARKS}])?[ \t]*\n\s*(?=[^\W_]|[|!$])|(?<=[|!$])([{BREAK_MARKS}])?[ \t]*\n\s*(?=[^\W_])|(?<=[^\W_])([{BREAK_MARKS}]) (?=[^\W_])")
-_LEFT, _RIGHT = re.compile(r"(?:[^\W_]|[|!$])+$"), re.compile(r"(?:[^\W_]|[|!$])+")
+_RIGHT = re.compile(r"(?:[^\W_]|[|!$])+")
 
 
 def _folder(classes: list[str]) -> tuple[list[tuple[str, str]], dict[int, str]]:
@@ -81,7 +87,7 @@ class Corrector:
 
     def _intended(self, word: str) -> str | None:
         """The word of the lexicon with the same skeleton, the nearest if there are several; None for words of the lexicon."""
-        if word in self.words or not 3 <= len(word) <= 40:
+        if word in self.words or len(word) < 3:
             return None
         like = self._of.get(skeleton(word)) or self._of.get(skeleton(word, False))
         return min(like, key=lambda w: (_edits(word, w), w)) if like else None
@@ -105,6 +111,12 @@ def is_page_number(line: str, page: int | None) -> bool:
     return abs(int(m.group(1)) - page) <= 1 if page is not None else bool(_DECORATED.search(line.strip()))
 
 
+def page_distance(line: str, page: int | None) -> int | None:
+    """How far the number of a line that only has a number is from its page; None for other lines and an unknown page."""
+    m = PAGE_LINE.match(line.strip())
+    return int(m.group(1)) - page if m and page is not None else None
+
+
 def candidate_lines(text: str, page: int | None, common: frozenset[str]) -> list[tuple[int, int, str, bool]]:
     """(line number, pages after the chunk's own, line, at an edge) that may be running lines: not part of a sentence."""
     lines = text.replace("\r\n", "\n").replace("\r", "\n").split("\n")
@@ -119,19 +131,13 @@ def candidate_lines(text: str, page: int | None, common: frozenset[str]) -> list
     for i in filled:
         line, bare = lines[i].strip(), _without_number(lines[i])
         words = _LETTERS.findall(line.lower())
-        if not words or not bare or len(line) > 120 or bare[-1] in ".,;:!?" + BREAK_MARKS or line[0] in "|•▪" or "\t" in line or len({w for w in words if w in common}) > 2:
+        if not words or not bare or bare[-1] in ".,;:!?" + BREAK_MARKS or line[0] in "|•▪" or "\t" in line or len({w for w in words if w in common}) > 2:
             continue
         if words and line.count("|") < 2 and not line[0].islower():
-            later = sum(n < i for n in numbered if n not in filled[:1] and n > (filled[0] if filled else -1))
-            out.append((i, min(later, 1), line, i in at))
+            out.append((i, sum(filled[0] < n < i for n in numbered), line, i in at))
     return out
 
 
-def edge_lines(text: str, page: int | None, common: frozenset[str]) -> list[tuple[int, int, str]]:
-    """(line number, pages after the chunk's own, line) of the candidates at the edges of a page."""
-    return [(i, later, line) for i, later, line, edge in candidate_lines(text, page, common) if edge]
-
-
 def _unknown(body: str, corrector: Corrector) -> tuple[list[tuple[re.Match[str], str]], list[tuple[re.Match[str], re.Match[str], str]]]:
     """Words outside the lexicon with their lower-cased form, and neighbours in a line that make one word of it without the space."""
     words, before, before_known, before_word = corrector.words, None, True, ""
@@ -157,13 +163,19 @@ def _misread(unknown: list[tuple[re.Match[str], str]], corrector: Corrector, cov
 
 
 def scanned(chunks: DataFrame) -> DataFrame:
-    """Distinct chunks whose content was recognised well enough: the cases that are repaired."""
-    good = (F.col("metadata.ocr_confidence") >= LEAST_CONFIDENCE) & (F.col("metadata.processing_status") == "success")
-    return chunks.where(good & F.col("content").isNotNull() & F.col("chunk_id").isNotNull()).select("chunk_id", "doc_id", "page", "content").dropDuplicates(["chunk_id", "content"])
+    """Distinct chunks whose content was recognised well enough: the cases that are repaired.
+
+    The texts are shuffled once, into parts of ``ROWS_IN_PART`` rows; joins by chunk and content need no other shuffle of them.
+    """
+    good = (F.col("metadata.ocr_confidence") >= LEAST_CONFIDENCE) & (F.col("metadata.processing_status") == "success") & F.col("content").isNotNull() & F.col("chunk_id").isNotNull()
+    rows = chunks.where(good)
+    n_parts = max(chunks.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // ROWS_IN_PART))
+    placed = rows.select("chunk_id", "doc_id", "page", "content", F.xxhash64("content").alias("content_hash")).repartition(n_parts, "chunk_id", "content_hash")
+    return placed.groupBy("chunk_id", "content_hash").agg(F.first("doc_id").alias("doc_id"), F.first("page").alias("page"), F.first("content").alias("content"))
 
 
 def corpus_vocabulary(chunks: DataFrame) -> DataFrame:
-    """(word) that occurs at least ``LEAST_COUNT`` times inside lines; words next to a line end may be halves and do not count."""
+    """(word) that occurs at least ``LEAST_COUNT`` times, and as ``LEAST_SHARE`` of all words, inside lines; words next to a line end may be halves and do not count."""
     torn = rf"\p{{L}}*[{BREAK_MARKS.replace('-', chr(92) + '-')}]?[ \t]*[\r\n]+\s*\p{{L}}*|\p{{L}}+[{BREAK_MARKS.replace('-', chr(92) + '-')}] \p{{L}}+"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,34 +185,80 @@ def corpus_vocabulary(chunks: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([counted.field(0).cast(pa.string()), counted.field(1)], ["word", "n"])
 
     words = chunks.where("content is not null").select("content").mapInArrow(run, "word string, n bigint").where("word <> ''")
-    return words.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_COUNT).select("word")
+    counts = materialize(words.groupBy("word").agg(F.sum("n").alias("n")), "scan-words")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return counts.where(F.col("n") >= max(LEAST_COUNT, LEAST_SHARE * total)).select("word")
 
 
-def running_lines(chunks: DataFrame, common: list[str]) -> DataFrame:
-    """(chunk_id, content_hash, line_no) of lines that recur on at least ``LEAST_PAGES`` pages of their document.
+def marked_lines(chunks: DataFrame, common: list[str]) -> DataFrame:
+    """(chunk_id, content_hash, running, numbers): line numbers of running lines, and of page numbers that only their sequence shows.
 
     All recognised chunks of a document count as witnesses, whatever their confidence. Lines
-    at the edges are the witnesses of recurrence; every line with a key that recurs there is
-    marked, as a page may change anywhere inside a chunk.
+    at the edges are the witnesses of recurrence; every line like one that recurs there is
+    marked, as a page may change anywhere inside a chunk. The lines are found in one pass and
+    written once.
     """
     witnesses = chunks.where("metadata.ocr_confidence is not null and content is not null and chunk_id is not null").select("doc_id", "page", "chunk_id", "content")
     common_set = frozenset(common)
+    names = ["doc_id", "page", "chunk_id", "line_no", "running_key", "content_hash", "edge", "distance"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(doc, None if page is None else page + later, chunk, no, running_key(line), h, edge) for doc, page, chunk, text, h in zip(*(batch.column(i).to_pylist() for i in range(5))) for no, later, line, edge in candidate_lines(text, page, common_set)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 7, (pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.int64(), pa.bool_()))], ["doc_id", "page", "chunk_id", "line_no", "running_key", "content_hash", "edge"])
-
-    lines = witnesses.withColumn("content_hash", F.xxhash64("content")).mapInArrow(run, "doc_id string, page int, chunk_id string, line_no int, running_key string, content_hash bigint, edge boolean").where("length(running_key) >= 4")
-    recurring = lines.where("edge").select("doc_id", "running_key", "page").distinct().groupBy("doc_id", "running_key").agg(F.count("page").alias("pages")).where(F.col("pages") >= LEAST_PAGES)
-    return lines.join(recurring, ["doc_id", "running_key"], "left_semi").select("chunk_id", "content_hash", "line_no").distinct()
+            rows = []
+            for doc, page, chunk, text, h in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                rows += [(doc, None if page is None else page + later, chunk, no, running_key(line), h, edge, None) for no, later, line, edge in candidate_lines(text, page, common_set)]
+                lines = text.replace("\r\n", "\n").replace("\r", "\n").split("\n")
+                filled = [i for i, x in enumerate(lines) if x.strip()]
+                rows += [(doc, page, chunk, no, None, h, no in filled[:EDGE_LINES] + filled[-EDGE_LINES:], d) for no in filled if (d := page_distance(lines[no], page)) is not None and not is_page_number(lines[no], page)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 8, (pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.int64(), pa.bool_(), pa.int32()))], names)
+
+    schema = "doc_id string, page int, chunk_id string, line_no int, running_key string, content_hash bigint, edge boolean, distance int"
+    lines = materialize(witnesses.withColumn("content_hash", F.xxhash64("content")).mapInArrow(run, schema).where("distance is not null or length(running_key) >= 4"), "scan-lines")
+    at = ["chunk_id", "content_hash", "line_no"]
+    running = recurring_lines(lines.where("running_key is not null")).select(*at, F.lit(True).alias("is_running"))
+    numbers = numbered_lines(lines.where("distance is not null")).select(*at, F.lit(False).alias("is_running"))
+    both = running.unionByName(numbers).distinct()
+    of = lambda yes: F.collect_set(F.when(F.col("is_running") == yes, F.col("line_no")))
+    return both.groupBy("chunk_id", "content_hash").agg(of(True).alias("running"), of(False).alias("numbers"))
+
+
+def recurring_lines(lines: DataFrame) -> DataFrame:
+    """The lines like one that recurs on at least ``LEAST_PAGES`` pages of its document.
+
+    A key on two pages and more is a centre; with it go keys of its document within ``EDITS``
+    edits, which share its first or last characters. The pages of all of them count.
+    """
+    ends = lambda rows: rows.withColumn("end", F.explode(F.array(F.concat(F.lit("<"), F.substring("running_key", 1, KEY_END)), F.concat(F.lit(">"), F.expr(f"right(running_key, {KEY_END})")))))
+    witnessed = lines.where("edge").select("doc_id", "running_key", "page").distinct()
+    centres = witnessed.groupBy("doc_id", "running_key").agg(F.count("page").alias("pages")).where("pages >= 2").select("doc_id", "running_key")
+    every = lines.select("doc_id", "running_key").distinct()
+    long = F.length("running_key") >= LONG_KEY
+    left, right = ends(every.where(long)), ends(centres.where(long)).select("doc_id", "end", F.col("running_key").alias("centre"))
+    near = left.join(right, ["doc_id", "end"]).where((F.abs(F.length("running_key") - F.length("centre")) <= EDITS) & (F.levenshtein("running_key", "centre", EDITS) >= 0)).select("doc_id", "running_key", "centre")
+    near = near.unionByName(centres.select("doc_id", "running_key", F.col("running_key").alias("centre"))).distinct()
+    recurring = witnessed.join(near, ["doc_id", "running_key"]).groupBy("doc_id", "centre").agg(F.count_distinct("page").alias("pages")).where(F.col("pages") >= LEAST_PAGES)
+    keys = near.join(recurring, ["doc_id", "centre"], "left_semi").select("doc_id", "running_key").distinct()
+    return lines.join(keys, ["doc_id", "running_key"], "left_semi")
+
+
+def numbered_lines(lines: DataFrame) -> DataFrame:
+    """The lines with nothing but a number that keep one distance to the page, at the edges of at least ``LEAST_PAGES`` pages and of half of the pages that have such a line.
+
+    A chunk may hold a page change, so the distance next above counts with it.
+    """
+    edge = lines.where("edge").select("doc_id", "page", "distance").distinct()
+    pages = edge.groupBy("doc_id").agg(F.count_distinct("page").alias("all_pages"))
+    with_next = edge.unionByName(edge.withColumn("distance", F.col("distance") - 1))
+    kept = with_next.groupBy("doc_id", "distance").agg(F.count_distinct("page").alias("pages")).join(pages, "doc_id").where((F.col("pages") >= LEAST_PAGES) & (2 * F.col("pages") >= F.col("all_pages")))
+    kept = kept.select("doc_id", F.explode(F.array(F.col("distance"), F.col("distance") + 1)).alias("distance")).distinct()
+    return lines.where("edge").join(kept, ["doc_id", "distance"], "left_semi")
 
 
-def _body(text: str, page: int | None, running: set[int]) -> tuple[list[tuple[str, str]], str]:
+def _body(text: str, page: int | None, running: set[int], numbers: set[int]) -> tuple[list[tuple[str, str]], str]:
     """Running lines and page numbers as (kind, item), and the text without them."""
     items, kept, dropped = [], [], False
     for i, line in enumerate(text.replace("\r\n", "\n").replace("\r", "\n").split("\n")):
-        if i in running or is_page_number(line, page):
+        if i in running or i in numbers or is_page_number(line, page):
             items.append(("running_header" if i in running else "page_number", " ".join(line.split())))
             dropped = True
         elif line.strip() or not dropped:
@@ -210,11 +268,14 @@ def _body(text: str, page: int | None, running: set[int]) -> tuple[list[tuple[st
 
 
 def _torn(body: str, corrector: Corrector, is_table: bool) -> Iterator[tuple[int, int, str, str, str, str]]:
-    """(begin, end, left, right, whole, evidence) of words that may be torn. evidence: ``mark``, ``none`` or ``inline``."""
+    """(begin, end, left, right, whole, evidence) of words that may be torn. evidence: ``mark`` at a line end or inside a line, else ``none``."""
     if is_table:
         return
     for gap in _GAP.finditer(body):
-        left, right = _LEFT.search(body, max(0, gap.start() - 48), gap.start()), _RIGHT.match(body, gap.end())
+        begin = gap.start()
+        while begin and (body[begin - 1].isalnum() or body[begin - 1] in "|!$"):
+            begin -= 1
+        left, right = _RIGHT.match(body, begin, gap.start()), _RIGHT.match(body, gap.end())
         if not left or not right or not _LETTERS.search(left.group()):
             continue
         before, after = body[left.start() - 1 : left.start()], body[right.end() : right.end() + 1]
@@ -222,23 +283,25 @@ def _torn(body: str, corrector: Corrector, is_table: bool) -> Iterator[tuple[int
             continue
         if after and after in BREAK_MARKS and body[right.end() + 1 : right.end() + 2].isalnum():
             continue
-        mark = gap.group(1) or gap.group(2)
+        mark = gap.group(1) or gap.group(2) or gap.group(3)
         a, b = left.group().lower(), right.group().lower()
-        yield left.start(), right.end(), a, b, a + b, "inline" if gap.group(3) else "mark" if mark else "none"
+        yield left.start(), right.end(), a, b, a + b, "mark" if mark else "none"
 
 
-def scan_findings(chunks: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """(chunk_id, content_hash, kind, item, left, right, evidence): all findings, torn words not yet decided."""
-    known, common = lexicon_words(lexicon)
-    running = running_lines(chunks, common).groupBy("chunk_id", "content_hash").agg(F.collect_set("line_no").alias("running"))
-    rows = scanned(chunks).withColumn("content_hash", F.xxhash64("content")).join(running, ["chunk_id", "content_hash"], "left").select("chunk_id", "content_hash", "page", "content", "running")
+def scan_rows(chunks: DataFrame, common: list[str]) -> DataFrame:
+    """(chunk_id, content_hash, page, content, running, numbers) of the cases; the marked lines are written once."""
+    marked = materialize(marked_lines(chunks, common), "scan-marked")
+    return scanned(chunks).join(marked, ["chunk_id", "content_hash"], "left").select("chunk_id", "content_hash", "page", "content", "running", "numbers")
 
+
+def scan_findings(rows: DataFrame, known: list[str]) -> DataFrame:
+    """(chunk_id, content_hash, kind, item, left, right, evidence): all findings, torn words not yet decided."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         corrector = _corrector(tuple(known))
         for batch in batches:
             out = []
-            for chunk, h, page, text, marked in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                items, body = _body(text, page, set(marked or ()))
+            for chunk, h, page, text, marked, numbers in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                items, body = _body(text, page, set(marked or ()), set(numbers or ()))
                 out += [(chunk, h, kind, item, None, None, None) for kind, item in items]
                 table = body.count("|") > 4 or body.count("\t") > 3
                 covered = []
@@ -251,7 +314,7 @@ def scan_findings(chunks: DataFrame, lexicon: DataFrame) -> DataFrame:
                         covered.append((begin, end))
                 unknown, spaced = _unknown(body, corrector)
                 for left, right, whole in spaced:
-                    out.append((chunk, h, "hyphen_break", whole, left.group().lower(), right.group().lower(), "inline"))
+                    out.append((chunk, h, "hyphen_break", whole, left.group().lower(), right.group().lower(), "none"))
                     covered.append((left.start(), right.end()))
                 out += [(chunk, h, "misread", meant, None, None, None) for _, meant in _misread(unknown, corrector, covered)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 7, (pa.string(), pa.int64(), *[pa.string()] * 5))], names)
@@ -267,31 +330,35 @@ def _corrector(known: tuple[str, ...]) -> Corrector:
 
 
 def decided_breaks(torn: DataFrame, vocabulary: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """(left, right, item) that are one word: dehyphenation by the vocabulary of the corpus.
+    """(left, right, item, evidence) that are one word: dehyphenation by the lexicon and the vocabulary of the corpus.
 
-    With a mark at the line end the whole must be known, or a half must be unknown (two known
-    halves of an unknown whole are a compound broken at its own hyphen). Without a mark, or
-    inside a line, the whole must be known and a half unknown.
+    With a mark the whole must be known, or a half must be unknown (two known halves of an
+    unknown whole are a compound broken at its own hyphen). Without a mark the whole must be
+    known and a half unknown; the corpus, which has fragments of torn words too, speaks for a
+    half only where the whole is no word of the lexicon.
     """
     cases = torn.select("left", "right", "item", "evidence").distinct()
     needed = cases.select(F.explode(F.array("left", "right", "item")).alias("word")).distinct()
-    words = vocabulary.unionByName(lexicon.where("word is not null").select(F.lower("word").alias("word"))).distinct().join(needed, "word", "left_semi").withColumn("known", F.lit(True))
+    of_lexicon = lexicon.where("word is not null").select(F.lower("word").alias("word"), F.lit(True).alias("in_lexicon"))
+    words = vocabulary.select("word", F.lit(False).alias("in_lexicon")).unionByName(of_lexicon).join(needed, "word", "left_semi").groupBy("word").agg(F.bool_or("in_lexicon").alias("in_lexicon"))
     for c in ("left", "right", "item"):
-        cases = cases.join(words.select(F.col("word").alias(c), F.col("known").alias(f"{c}_known")), c, "left").withColumn(f"{c}_known", F.coalesce(f"{c}_known", F.lit(False)))
-    halves = F.col("left_known") & F.col("right_known")
-    whole = F.col("item_known")
-    one_word = F.when(F.col("evidence") == "mark", whole | ~halves).otherwise(whole & ~halves)
-    return cases.where(one_word).select("left", "right", "item", "evidence")
+        cases = cases.join(words.select(F.col("word").alias(c), F.col("in_lexicon").alias(f"{c}_known")), c, "left")  # NULL where neither knows it
+    halves = F.col("left_known").isNotNull() & F.col("right_known").isNotNull()
+    sure_halves = F.coalesce(F.col("left_known") & F.col("right_known"), F.lit(False))
+    whole = F.col("item_known").isNotNull()
+    unmarked = whole & F.when(F.col("item_known"), ~sure_halves).otherwise(~halves)
+    return cases.where(F.when(F.col("evidence") == "mark", whole | ~halves).otherwise(unmarked)).select("left", "right", "item", "evidence")
 
 
 def scan_noise(chunks: DataFrame, lexicon: DataFrame) -> DataFrame:
     """(chunk_id, kind, item) of what is repaired in well-recognised chunks.
 
     NULL content, NULL or low confidence and failed chunks are no case; a NULL page takes no
-    part in recurrence and its page numbers need a label. Repeated rows count once; empty
+    part in recurrence or sequences and its page numbers need a label. Repeated rows count once; empty
     tables give no rows. Texts are read whole.
     """
-    found = scan_findings(chunks, lexicon)
+    known, common = lexicon_words(lexicon)
+    found = scan_findings(scan_rows(chunks, common), known)
     sure = found.where("kind <> 'hyphen_break'").select("chunk_id", "kind", "item")
     torn = found.where("kind = 'hyphen_break'").select("chunk_id", "kind", "item", "left", "right", "evidence").distinct()
     joined = torn.join(decided_breaks(torn, corpus_vocabulary(chunks), lexicon), ["left", "right", "item", "evidence"], "left_semi")
@@ -331,20 +398,20 @@ def repaired_scans(chunks: DataFrame, lexicon: DataFrame) -> DataFrame:
     of one chunk_id give a row each.
     """
     known, common = lexicon_words(lexicon)
-    found = scan_findings(chunks, lexicon)
+    rows = scan_rows(chunks, common)
+    found = scan_findings(rows, known)
     torn = found.where("kind = 'hyphen_break'").select("chunk_id", "content_hash", "item", "left", "right", "evidence").distinct()
     joined = torn.join(decided_breaks(torn, corpus_vocabulary(chunks), lexicon), ["left", "right", "item", "evidence"], "left_semi")
-    joined = joined.groupBy("chunk_id", "content_hash").agg(F.collect_set(F.concat_ws(" ", "left", "right")).alias("joined"))
-    running = running_lines(chunks, common).groupBy("chunk_id", "content_hash").agg(F.collect_set("line_no").alias("running"))
     keys = ["chunk_id", "content_hash"]
-    rows = scanned(chunks).withColumn("content_hash", F.xxhash64("content")).join(running, keys, "left").join(joined, keys, "left").select("chunk_id", "page", "content", "running", "joined")
+    joined = joined.groupBy(*keys).agg(F.collect_set(F.concat_ws(" ", "left", "right")).alias("joined"))
+    rows = rows.join(joined, keys, "left").select("chunk_id", "page", "content", "running", "numbers", "joined")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         corrector = _corrector(tuple(known))
         for batch in batches:
             out = []
-            for chunk, page, text, marked, pairs in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                items, body = _body(text, page, set(marked or ()))
+            for chunk, page, text, marked, numbers, pairs in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                items, body = _body(text, page, set(marked or ()), set(numbers or ()))
                 repairs = len(items) + len(pairs or ()) + sum(1 for _ in _misread(_unknown(body, corrector)[0], corrector, []))
                 out.append((chunk, _repaired(body, corrector, {tuple(x.split(" ")) for x in pairs or ()}), repairs))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 3, (pa.string(), pa.string(), pa.int32()))], ["chunk_id", "content", "n_repairs"])
