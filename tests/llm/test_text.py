@@ -28,14 +28,30 @@ def test_boundaries_and_pieces(make_chunks):
         assert "".join("".join(p.content[p.overlap_chars :].split()) for p in ps) == "".join(texts[cid].split())
         assert all(int(len(p.content.split()) * 1.3) <= 400 for p in ps)
         if cid != "huge":
-            assert all(len(p.content[: p.overlap_chars].split()) == words_within(50) for p in ps[1:])
+            # The overlap is as long as asked for, or as the first whole unit leaves room for.
+            first = {"p": 200, "l": 250, "s": 10}.get(cid, 1)
+            assert all(len(p.content[: p.overlap_chars].split()) == min(words_within(50), 308 - first) for p in ps[1:])
     assert split_oversized(make_chunks(rows).where("false")).collect() == []
 
 
-def test_split_without_words():
+def test_split_keeps_whole_units_that_fit():
+    paragraphs = [" ".join(f"p{k}w{i}" for i in range(n)) for k, n in enumerate((280, 300, 290, 308, 20))]
+    text = "\n\n".join(paragraphs)
+    pieces = split_text(text)
+    assert [text[core:end] for _, core, end in pieces] == paragraphs
+    assert [len(text[begin:core].split()) for begin, core, _ in pieces] == [0, 8, 18, 0, 39] and all(len(text[b:e].split()) <= 308 for b, _, e in pieces)
     assert split_text("   ") == [] and split_text("") == []
 
 
+def test_boundary_is_what_the_splitter_needed():
+    from pagewright.llm.pieces import boundary_of
+
+    w = lambda n: " ".join(["word"] * n)
+    assert boundary_of(f"{w(300)}\n \n{w(300)}", 308) == "paragraph" and boundary_of(f"{w(300)}\n{w(300)}", 308) == "line" and boundary_of(f"{w(300)}. {w(300)}", 308) == "sentence" and boundary_of(w(600), 308) == "word"
+    assert boundary_of(f"{w(300)}\n2 Results of it\n{w(300)}", 308) == "line"  # a section that begins inside a paragraph
+    assert boundary_of(f"{w(100)}\n\n{w(5)} {'x' * 50_000} {w(5)}\n\n{w(300)}", 308) == "paragraph"  # a long word alone is no reason
+
+
 # --- pairs ---------------------------------------------------------------------------------------
 
 
