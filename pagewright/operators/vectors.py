@@ -9,9 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from pagewright.functions.text import vector_unit
+from pagewright.plans.lineage import written_blocks
 
-#: Query vectors that are sent out and multiplied at a time.
-QUERY_BLOCK = 2048
+#: Query vectors that are multiplied at a time, and vectors of the index that a task holds against them.
+QUERY_BLOCK, INDEX_BLOCK = 2048, 32_768
 
 
 def upsert(index: DataFrame, new: DataFrame, key: str = "chunk_id", vector: str = "vector") -> DataFrame:
@@ -24,40 +25,49 @@ def delete(index: DataFrame, keys: DataFrame, key: str = "chunk_id") -> DataFram
     return index.join(keys.select(key).distinct(), key, "left_anti")
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches put together to tables of about ``INDEX_BLOCK`` rows."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= INDEX_BLOCK:
+            yield pa.Table.from_batches(held)
+            held = []
+    if sum(b.num_rows for b in held):
+        yield pa.Table.from_batches(held)
+
+
 def top_k(queries: DataFrame, index: DataFrame, k: int, query_id: str = "query_id", key: str = "chunk_id", vector: str = "vector") -> DataFrame:
     """(query_id, key, score, rank) of the k nearest by inner product of unit vectors, exact; ties by key.
 
-    Each block of ``QUERY_BLOCK`` query vectors goes to the executors, is multiplied with
-    every Arrow batch of the index, and each batch keeps the k best per query; what remains
-    is ranked once per query. NULL vectors are left out; an empty index gives no rows.
+    The query vectors are written in blocks. The index is read once: every task holds some
+    thousand of its vectors and multiplies them with one block of queries after the other,
+    keeping the k best per query; what remains is ranked once per query. NULL vectors are
+    left out; an empty index gives no rows.
     """
     unit = queries.where(F.col(vector).isNotNull()).select(F.col(query_id).alias("q"), vector_unit(F.col(vector)).alias("v"))
     rows = index.where(F.col(vector).isNotNull()).select(F.col(key).alias("key"), vector_unit(F.col(vector)).alias("v"))
     kinds = (unit.schema["q"].dataType.simpleString(), rows.schema["key"].dataType.simpleString())
-    n_blocks = max(1, -(-unit.count() // QUERY_BLOCK))
-    blocks = unit.withColumn("block", F.ntile(n_blocks).over(W.orderBy("q"))) if n_blocks > 1 else unit.withColumn("block", F.lit(1))
-    parts: DataFrame | None = None
-    for block in range(1, n_blocks + 1):
-        taken = blocks.where(F.col("block") == block).select("q", "v").toPandas()
-        ids = pa.Array.from_pandas(taken["q"])
-        m = np.array(taken["v"].tolist(), np.float64).reshape(len(taken), -1)
-
-        def run(batches: Iterator[pa.RecordBatch], ids: pa.Array = ids, m: np.ndarray = m) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows or not len(ids):
+    blocks = written_blocks(unit, "q", QUERY_BLOCK, "query-vectors")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _held(batches):
+            vectors, keys = _matrix(held["v"]), held["key"].combine_chunks()
+            for block in blocks.read():
+                if not block.num_rows:
                     continue
-                scores = m @ _matrix(batch.column(1)).T
+                scores = _matrix(block["v"]) @ vectors.T
                 # Scores that tie with the k-th are kept too, so that ties are broken by key later.
-                least = np.partition(scores, -k, axis=1)[:, -k, None] if scores.shape[1] > k else np.full((len(m), 1), -np.inf)
+                least = np.partition(scores, -k, axis=1)[:, -k, None] if scores.shape[1] > k else np.full((len(scores), 1), -np.inf)
                 q, r = np.nonzero(scores >= least - 1e-9)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), batch.column(0).take(pa.array(r)), pa.array(scores[q, r])], ["q", "key", "score"])
+                yield pa.RecordBatch.from_arrays([block["q"].combine_chunks().take(pa.array(q)), keys.take(pa.array(r)), pa.array(scores[q, r])], ["q", "key", "score"])
 
-        part = rows.mapInArrow(run, f"q {kinds[0]}, key {kinds[1]}, score double")
-        parts = part if parts is None else parts.unionByName(part)
+    parts = rows.mapInArrow(run, f"q {kinds[0]}, key {kinds[1]}, score double")
     rank = F.row_number().over(W.partitionBy("q").orderBy(F.round("score", 6).desc(), "key"))
     return parts.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("q").alias(query_id), F.col("key").alias(key), "score", "rank")

@@ -4,8 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -31,3 +36,29 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     path = f"{shared_folder(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@dataclass(frozen=True)
+class Blocks:
+    """Rows written to the shared folder in blocks that tasks read one after the other."""
+
+    files: tuple[str, ...]
+
+    def read(self) -> Iterator[pa.Table]:
+        for file in self.files:
+            system, path = pyarrow.fs.FileSystem.from_uri(file)
+            yield pyarrow.parquet.ParquetFile(system.open_input_file(path)).read()
+
+
+def written_blocks(rows: DataFrame, key: str, size: int, what: str) -> Blocks:
+    """``rows`` in blocks of about ``size`` keys, by the hash of the key; rows of a key stay together.
+
+    No task sorts or holds all rows, and nothing but the names of the files, one per block,
+    comes to the driver.
+    """
+    spark = rows.sparkSession
+    kept = materialize(rows, what)
+    n = max(1, -(-kept.select(key).distinct().count() // size))
+    path = f"{shared_folder(spark).rstrip('/')}/{what}-blocks-{uuid.uuid4().hex}"
+    kept.repartition(n, F.xxhash64(key)).write.option("maxRecordsPerFile", 0).parquet(path)
+    return Blocks(tuple(sorted(spark.read.parquet(path).inputFiles())))
