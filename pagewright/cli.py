@@ -10,7 +10,8 @@ from pyspark.sql import SparkSession, functions as F
 from pagewright.config import Settings, load_settings
 from pagewright.operators.evaluation import markdown_report, report_examples, slice_metrics
 from pagewright.plans.answering import answer, embed_chunks, judge, retrieve
-from pagewright.plans.ingest import missing_vectors, text_and_table_chunks
+from pagewright.plans.ingest import ingest, missing_vectors
+from pagewright.schemas import IMAGES
 from pagewright.sources.store import write_report_csv
 
 
@@ -20,6 +21,8 @@ def main(args: list[str] | None = None) -> int:
     p.add_argument("--config")
     p.add_argument("--chunks", help="folder of the chunks table")
     p.add_argument("--elements", help="folder of the elements table (ingest)")
+    p.add_argument("--images", help="folder of the images table (ingest)")
+    p.add_argument("--cache", help="folder that keeps embeddings by model and text (reindex)")
     p.add_argument("--vectors", help="folder of the vector table")
     p.add_argument("--dataset", help="folder of the question set (eval)")
     p.add_argument("--question", help="question (ask)")
@@ -28,11 +31,14 @@ def main(args: list[str] | None = None) -> int:
     settings = load_settings(a.config) if a.config else Settings()
     spark = SparkSession.builder.getOrCreate()
     if a.command == "ingest":
-        text_and_table_chunks(spark.read.parquet(a.elements), settings.chunk_size_tokens, settings.chunk_overlap_tokens).write.parquet(a.out)
+        pictures = spark.read.parquet(a.images) if a.images else spark.createDataFrame([], IMAGES)
+        done = ingest(spark.read.parquet(a.elements), pictures, size=settings.chunk_size_tokens, overlap=settings.chunk_overlap_tokens)
+        for name, rows in (("chunks", done.chunks), ("registry", done.registry), ("errors", done.errors)):
+            rows.write.mode("append").parquet(f"{a.out}/{name}")
         return 0
     chunks = spark.read.parquet(a.chunks)
     if a.command == "reindex":
-        embed_chunks(missing_vectors(chunks, spark.read.parquet(a.vectors)) if a.vectors else chunks).write.mode("append").parquet(a.out)
+        embed_chunks(missing_vectors(chunks, spark.read.parquet(a.vectors)) if a.vectors else chunks, cache=a.cache).write.mode("append").parquet(a.out)
         return 0
     vectors = spark.read.parquet(a.vectors) if a.vectors else embed_chunks(chunks)
     if a.command == "ask":

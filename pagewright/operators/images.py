@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql.functions import pandas_udf
 
 from pagewright.functions.predicates import ocr_blank, ocr_catastrophic, ocr_failed, tiny_image, uniform_image
+from pagewright.operators.tables import split_table
 
 #: ``least_side`` is the shorter side of the image as it is classified, at most 512 pixels long.
 FEATURES = "width int, height int, least_side int, diversity double, contrast double, edge_ratio double, line_density double, entropy double, deviation double, ahash string"
@@ -123,20 +124,33 @@ def route(images: DataFrame) -> DataFrame:
 def image_chunks(images: DataFrame) -> DataFrame:
     """Chunks of each image: its caption and its recognised text as far as there are any, else a row of failure.
 
-    Visual types give the caption first; scans give the text, and the caption only where
-    recognition failed. Input: doc_id, page, image_index, image_type, text, caption,
-    ocr_failed, reason.
+    Input: doc_id, page, image_index, image_type, text, caption, ocr_failed, catastrophic,
+    skip_reason, ocr_reason. Visual types give the caption first; scans give the text, and
+    the caption only where recognition failed; the text of a scanned table is cut like a
+    table. Text that is hopeless is kept with the status of a failure.
     """
     has_text, has_caption = F.coalesce(F.trim("text") != "", F.lit(False)), F.coalesce(F.trim("caption") != "", F.lit(False))
-    scan = F.col("image_type").isin("text_scan", "table_scan")
-    name = lambda s: F.concat("doc_id", F.lit("_p"), F.col("page").cast("string"), F.lit("_i"), F.col("image_index").cast("string"), F.lit(s))
-    row = lambda s, kind, text, status: F.struct(name(s).alias("chunk_id"), F.lit(kind).alias("type"), text.alias("content"), F.lit(status).alias("processing_status"))
-    ocr = F.when(has_text, row("_ocr", "image_ocr", F.col("text"), "success"))
-    cap = F.when(has_caption & (~scan | F.col("ocr_failed")), row("_cap", "image_caption", F.col("caption"), "success"))
-    made = F.array_compact(F.when(scan, F.array(ocr, cap)).otherwise(F.array(cap, ocr)))
-    failure = F.array(row("_fail", "image_ocr", F.lit(""), "failed"))
-    rows = images.withColumn("c", F.explode(F.when(F.size(made) > 0, made).otherwise(failure)))
-    return rows.select("doc_id", "page", "image_index", "c.*", F.when(F.col("c.processing_status") == "failed", F.coalesce("reason", F.lit("no text and no caption"))).alias("reason"))
+    failed, hopeless = F.coalesce("ocr_failed", F.lit(True)), F.coalesce("catastrophic", F.lit(False))
+    scan, table = F.col("image_type").isin("text_scan", "table_scan"), F.col("image_type") == "table_scan"
+    name = lambda s: F.concat("doc_id", F.lit("_p"), F.col("page").cast("string"), F.lit("_i"), F.col("image_index").cast("string"), s)
+    null = F.lit(None).cast("string")
+
+    def row(suffix: Column, kind: str, content: Column, status: Column, ocr: Column, vision: Column, ocr_error: Column, vision_error: Column, source: Column = null) -> Column:
+        fields = {"chunk_id": name(suffix), "type": F.lit(kind), "content": content, "processing_status": status, "ocr_failed": ocr, "vision_used": vision, "ocr_error": ocr_error, "vision_error": vision_error, "table_source": source}
+        return F.struct(*(c.alias(n) for n, c in fields.items()))
+
+    yes, no = F.lit(True), F.lit(False)
+    status, ocr_error = F.when(hopeless, "failed").otherwise("success"), F.when(hopeless, "catastrophic_ocr")
+    no_vision = F.when(~has_caption & ~scan, F.coalesce("skip_reason", F.lit("no caption, recognised text instead")))
+    text = F.when(has_text, row(F.lit("_ocr"), "image_ocr", F.col("text"), status, failed, no, ocr_error, no_vision))
+    caption = F.when(has_caption & (~scan | failed | (table & has_text)), row(F.lit("_cap"), "image_caption", F.col("caption"), F.lit("success"), F.when(scan, failed).otherwise(no), yes, null, null))
+    parts = F.transform(split_table(F.col("text")), lambda t, i: row(F.concat(F.lit("_table"), F.when(i > 0, F.concat(F.lit("_"), i.cast("string"))).otherwise("")), "table", t, status, failed, no, ocr_error, null, F.lit("ocr")))
+    made = F.when(table & has_text, F.concat(parts, F.array_compact(F.array(caption)))).otherwise(F.array_compact(F.when(scan, F.array(text, caption)).otherwise(F.array(caption, text))))
+    lost = F.concat(F.lit("[Image processing failed: "), F.col("image_type"), F.lit(" on page "), F.col("page").cast("string"), F.lit("]"))
+    no_text = F.when(failed, F.coalesce("ocr_reason", F.lit("recognition failed"))).otherwise("no text recognised")
+    lose = lambda kind: F.array(row(F.lit("_fail"), kind, lost, F.lit("failed"), failed, no, no_text, F.coalesce("skip_reason", F.lit("no caption"))))
+    rows = images.withColumn("c", F.explode(F.when(F.size(made) > 0, made).when(scan, lose("image_ocr")).otherwise(lose("image_caption"))))
+    return rows.select(*(c for c in images.columns if c != "ocr_failed"), "c.*")
 
 
 def clean_caption(caption: Column) -> Column:

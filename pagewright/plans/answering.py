@@ -11,7 +11,8 @@ from pagewright.operators.lexical import bm25_top_k, build_index, query_tokens,
 from pagewright.operators.retrieval import search
 from pagewright.operators.vectors import top_k
 from pagewright.plans.lineage import materialize
-from pagewright.providers import ExtractiveAnswerer, HashEmbedder, OverlapJudge, Provider, asked
+from pagewright.providers import ExtractiveAnswerer, HashEmbedder, OverlapJudge, Provider, applied, asked, cached
+from pagewright.sources.store import cache_key
 
 
 def source_refs(hits: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -29,11 +30,17 @@ def embedding_text(content: Column, kind: Column, image_type: Column) -> Column:
     return F.when((kind == "table") & ~F.contains(content, flat), F.concat(content, F.lit("\n\n"), flat)).when(kind.isin("image_ocr", "image_caption"), F.concat(F.lit("image "), F.coalesce(image_type, kind), F.lit(": "), content)).otherwise(content)
 
 
-def embed_chunks(chunks: DataFrame, provider: Provider | None = None) -> DataFrame:
-    """(chunk_id, vector, doc_id, page, type, content_preview) of the chunks that can be indexed."""
+def embed_chunks(chunks: DataFrame, provider: Provider | None = None, cache: str | None = None) -> DataFrame:
+    """(chunk_id, vector, doc_id, page, type, content_preview) of the chunks that can be indexed.
+
+    Equal texts are asked for once; with a cache folder, texts that were embedded by the same
+    model before are not asked for at all.
+    """
+    provider = provider or HashEmbedder()
     good = chunks.where("metadata.processing_status = 'success'").where(F.col("content").rlike(r"(?U)\S")).withColumn("text", embedding_text(F.col("content"), F.col("type"), F.col("metadata.image_type")))
-    vectors = asked(good, provider or HashEmbedder(), "chunk_id", "text", "vector").where("error is null").drop("error")
-    return vectors.join(good.select("chunk_id", "doc_id", "page", "type", F.substring("content", 1, 100).alias("content_preview")), "chunk_id")
+    keyed = good.withColumn("key", cache_key(provider.name, F.col("text")))
+    vectors = cached(keyed, provider, "key", "text", cache, "vector") if cache else applied(keyed.select("key", "text"), provider, "key", "text", None, "vector")[0]
+    return keyed.select("key", "chunk_id", "doc_id", "page", "type", F.substring("content", 1, 100).alias("content_preview")).join(vectors, "key").select("chunk_id", "vector", "doc_id", "page", "type", "content_preview")
 
 
 def retrieve(questions: DataFrame, chunks: DataFrame, vectors: DataFrame, k: int = 12, hybrid: bool = True, embedder: Provider | None = None) -> DataFrame:

@@ -22,10 +22,18 @@ from pagewright.sources.store import cache_misses
 
 
 class Provider(ABC):
-    """Replies to a batch of texts. ``reply_type`` is the Spark type of a reply."""
+    """Replies to a batch of texts. ``reply_type`` is the Spark type of a reply.
+
+    ``per_minute`` is the budget of calls of the whole job, None for no limit; ``retries`` and
+    ``backoff`` say how often a call is tried and how long it waits in between; a call gets
+    at most ``most_items`` texts of ``most_tokens`` estimated tokens.
+    """
 
     reply_type = "string"
     name = "offline"
+    per_minute: float | None = None
+    retries, backoff = 3, 2.0
+    most_tokens, most_items = 240_000, 512
 
     @abstractmethod
     def reply(self, texts: list[str]) -> list: ...
@@ -120,16 +128,43 @@ class StatisticsCaptioner(Provider):
         return [f"An image with {t}." if t.strip() else "unreadable" for t in texts]
 
 
+class StoredRecognizer(Provider):
+    """Recognition whose result came with the image: ``confidence`` and text, apart by a unit separator; nothing recognised without it."""
+
+    reply_type = "struct<text: string, confidence: double>"
+    name = "stored"
+
+    def reply(self, texts: list[str]) -> list:
+        out = []
+        for t in texts:
+            confidence, _, text = t.partition("\x1f")
+            out.append({"text": text, "confidence": float(confidence or 0.0)})
+        return out
+
+
 def asked(rows: DataFrame, provider: Provider, key: str, text: str, reply: str = "reply") -> DataFrame:
-    """(key, reply, error): replies of the provider; a failing batch gives errors instead of ending the job."""
+    """(key, reply, error): replies of the provider; a failing call gives errors instead of ending the job.
+
+    The tasks that can run at once share the provider's calls a minute; a call that fails is
+    tried again after growing waits.
+    """
+    at_once = max(1, rows.sparkSession.sparkContext.defaultParallelism)
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        limiter = Limiter(provider.per_minute / at_once) if provider.per_minute else None
+
+        def call(texts: list[str]) -> list:
+            if limiter:
+                limiter.wait()
+            return provider.reply(texts)
+
         for f in frames:
             texts = f[text].fillna("").tolist()
             replies: list = [None] * len(texts)
             errors: list = [None] * len(texts)
-            for part in batches_within([max(1, len(t) // 3) for t in texts]):
+            for part in batches_within([max(1, len(t) // 3) for t in texts], provider.most_tokens, provider.most_items):
                 try:
-                    for i, r in zip(part, with_retries(lambda p=part: provider.reply([texts[i] for i in p]), sleep=lambda s: None)):
+                    for i, r in zip(part, with_retries(lambda p=part: call([texts[i] for i in p]), provider.retries, provider.backoff)):
                         replies[i] = r
                 except Exception as e:  # noqa: BLE001
                     for i in part:
@@ -145,3 +180,17 @@ def applied(rows: DataFrame, provider: Provider, key: str, text: str, cache: Dat
     new = asked(missing, provider, key, text, reply)
     known = new.where("error is null").select(key, reply)
     return (known if cache is None else cache.select(key, reply).unionByName(known)), new
+
+
+def cached(rows: DataFrame, provider: Provider, key: str, text: str, folder: str, reply: str = "reply") -> DataFrame:
+    """(key, reply) of every distinct key from the cache table in ``folder``; keys that it lacks are asked once and added to it.
+
+    Failed calls are not kept, so the next run asks again. New replies are appended before
+    anything reads them: a task that is run again does not ask again.
+    """
+    spark = rows.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    known = spark.read.parquet(folder) if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path) else None
+    _, new = applied(rows, provider, key, text, known, reply)
+    new.where("error is null").select(key, reply).write.mode("append").parquet(folder)
+    return spark.read.parquet(folder).join(rows.select(key).distinct(), key, "left_semi").dropDuplicates([key])

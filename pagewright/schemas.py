@@ -27,3 +27,4 @@ JUDGMENTS = f"question string, answer string, expected_answer string, judge {SCO
 VECTORS = "chunk_id string, vector array<float>, doc_id string, page int, type string, content_preview string"
 OCR_RESULTS = "image_hash string, text string, confidence double, word_count int, char_count int, alpha_ratio double"
 REPORT = "slice string, faithfulness double, relevancy double, context_precision double, context_recall double, no_answer_accuracy double, false_positive_rate double, count bigint, scope string"
+IMAGES = "doc_id string, page int, image_index int, width int, height int, pixels binary, recognised string"

@@ -87,11 +87,13 @@ def write_report_csv(metrics: DataFrame, path: str) -> None:
 
 
 def read_report_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Report rows with blanks as 0, one per slice and scope."""
+    """Report rows with blanks as 0; of repeated slices the last of the file counts."""
     rows = spark.read.csv(path, header=True, inferSchema=False)
     names = [c.strip().split(" ")[0] for c in REPORT.split(", ")]
     kinds = dict(c.split(" ") for c in REPORT.split(", "))
-    return rows.select(*(F.col(c).cast(kinds[c]).alias(c) for c in names if c in rows.columns)).fillna(0).dropDuplicates(["slice", "scope"])
+    kept = [c for c in names if c in rows.columns]
+    placed = rows.select(*(F.col(c).cast(kinds[c]).alias(c) for c in kept), F.struct(F.input_file_name(), F.monotonically_increasing_id()).alias("place")).fillna(0)
+    return placed.groupBy("slice", "scope").agg(F.max_by(F.struct(*kept), "place").alias("r")).select("r.*")
 
 
 def files_by_pattern(spark: SparkSession, folder: str, pattern: str = "*.pdf") -> DataFrame:

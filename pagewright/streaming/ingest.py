@@ -32,13 +32,34 @@ def once_per_key(rows: DataFrame, key: str, time: str, late: str = "1 day") -> D
     return rows.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
 
 
-def run_batches(stream: DataFrame, step: Callable[[DataFrame, int], None], on_error: Callable[[int, Exception], None], checkpoint: str) -> StreamingQuery:
-    """Runs ``step`` on each batch until all that is there is done; an error is reported and the stream goes on."""
+def run_batches(stream: DataFrame, step: Callable[[DataFrame, int], None], on_error: Callable[[int, Exception], None], checkpoint: str, error_sink: str | None = None, key: str | None = None) -> StreamingQuery:
+    """Runs ``step`` on each batch until all that is there is done; an error is reported and the stream goes on.
+
+    When the step fails on a batch, it is run on each ``key`` of the batch alone, so that one
+    bad file costs only itself; rows that fail alone, or the batch where no key is given, are
+    appended to ``error_sink`` before the offset is committed, so no input is lost. Without a
+    sink a failing batch ends the stream, and is tried again by the next run. A batch has as many
+    keys as its source allows (``maxFilesPerTrigger``).
+    """
+    def keep(rows: DataFrame, number: int, e: Exception) -> None:
+        on_error(number, e)
+        if error_sink is None:
+            raise e
+        rows.withColumns({"_batch": F.lit(number), "_error": F.lit(f"{type(e).__name__}: {e}"[:10_000])}).write.mode("append").parquet(error_sink)
+
     def safe(batch: DataFrame, number: int) -> None:
         try:
             step(batch, number)
         except Exception as e:  # noqa: BLE001
-            on_error(number, e)
+            if key is None or error_sink is None:
+                keep(batch, number, e)
+                return
+            for (value,) in batch.select(key).distinct().collect():
+                one = batch.where(F.col(key).eqNullSafe(F.lit(value)))
+                try:
+                    step(one, number)
+                except Exception as alone:  # noqa: BLE001
+                    keep(one, number, alone)
 
     return stream.writeStream.foreachBatch(safe).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

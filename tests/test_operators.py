@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -6,7 +8,7 @@ from pagewright.config import Settings, load_settings, resolve
 from pagewright.operators import chunking, evaluation, images, parsing, retrieval, statistics, tables, vectors
 from pagewright.plans.answering import answer, embed_chunks, judge, retrieve
 from pagewright.plans.ingest import missing_vectors, registry_rows, reingest, text_and_table_chunks
-from pagewright.providers import HashEmbedder, Limiter, Provider, applied, asked, batches_within, with_retries
+from pagewright.providers import HashEmbedder, Limiter, Provider, applied, asked, batches_within, cached, with_retries
 from pagewright.sources import store
 
 SENTENCE = "One two three four five six seven eight nine ten. "
@@ -162,9 +164,40 @@ def test_image_features_and_routing(spark):
     assert rows[0].c == "text_scan" and rows[1].ahash is None and rows[1].c == "chart"
     small = spark.createDataFrame([("d", i, 100, 100, "aa") for i in range(3)] + [("d", 3, 40, 40, "bb"), ("d", 4, 300, 300, "aa")], "doc_id string, image_index int, width int, height int, ahash string")
     assert {r.image_index for r in images.low_information(small).collect()} == {0, 1, 2, 3}
-    imgs = spark.createDataFrame([("d", 1, 0, "photo", "txt", "cap", False, None), ("d", 1, 1, "text_scan", "txt", "cap", False, None), ("d", 1, 2, "text_scan", "txt", "cap", True, None), ("d", 1, 3, "chart", " ", None, True, "low-info")], "doc_id string, page int, image_index int, image_type string, text string, caption string, ocr_failed boolean, reason string")
-    ids = sorted(r.chunk_id for r in images.image_chunks(imgs).collect())
-    assert ids == ["d_p1_i0_cap", "d_p1_i0_ocr", "d_p1_i1_ocr", "d_p1_i2_cap", "d_p1_i2_ocr", "d_p1_i3_fail"]
+    imgs = spark.createDataFrame([("d", 1, 0, "photo", "txt", "cap", False, False, None), ("d", 1, 1, "text_scan", "txt", "cap", False, False, None), ("d", 1, 2, "text_scan", "txt", "cap", True, True, None), ("d", 1, 3, "chart", " ", None, True, True, "low-info"), ("d", 1, 4, "text_scan", "", None, True, True, None), ("d", 1, 5, "table_scan", "| a | b |\n" * 400, None, False, False, None)], "doc_id string, page int, image_index int, image_type string, text string, caption string, ocr_failed boolean, catastrophic boolean, skip_reason string").withColumn("ocr_reason", F.lit("chars=1<50"))
+    got = {r.chunk_id: r for r in images.image_chunks(imgs).collect()}
+    assert sorted(x for x in got if "_i5_" not in x) == ["d_p1_i0_cap", "d_p1_i0_ocr", "d_p1_i1_ocr", "d_p1_i2_cap", "d_p1_i2_ocr", "d_p1_i3_fail", "d_p1_i4_fail"]
+    assert {"d_p1_i5_table", "d_p1_i5_table_1"} <= set(got) and got["d_p1_i5_table"].table_source == "ocr" and got["d_p1_i5_table"].type == "table"
+    assert got["d_p1_i2_ocr"].processing_status == "failed" and got["d_p1_i3_fail"].type == "image_caption" and got["d_p1_i4_fail"].content == "[Image processing failed: text_scan on page 1]"
+
+
+def test_ingest_as_one_plan(spark):
+    from pagewright.plans.ingest import ingest
+    from pagewright.schemas import IMAGES
+
+    rng = np.random.default_rng(2)
+    noise, flat = bytes(rng.integers(0, 256, 4096, dtype=np.uint8)), bytes([200]) * 4096
+    good = "80\x1f" + "recognised words of a picture that says something " * 4
+    pictures = [("d1", 2, 0, 64, 64, noise, good), ("d2", 1, 0, 64, 64, noise, good), ("d1", 3, 1, 64, 64, flat, ""), ("d1", 3, 2, 10, 10, bytes(100), None)]
+    elements = [("d1", 1, 0, "text", "Table 1: values\n\nSome text."), ("d1", 1, 1, "table", "| a | b |\n| --- | --- |\n| 1 | 2 |"), ("d2", 1, 0, "text", "Other text.")]
+
+    class Down(Provider):
+        backoff = 0.0
+
+        def reply(self, texts):
+            raise RuntimeError("no vision")
+
+    make = lambda captioner=None: ingest(spark.createDataFrame(elements, "doc_id string, page int, elem_idx int, type string, content string"), spark.createDataFrame(pictures, IMAGES), captioner=captioner)
+    done = make()
+    got = {r.chunk_id: r for r in done.chunks.collect()}
+    assert set(got) == {"d1_p1_t0", "d1_p1_tbl0", "d2_p1_t0", "d1_p2_i0_cap", "d1_p2_i0_ocr", "d2_p1_i0_cap", "d2_p1_i0_ocr", "d1_p3_i1_fail", "d1_p3_i2_fail"}
+    assert got["d1_p1_tbl0"].content.startswith("Table 1: values\n") and got["d1_p1_t0"].metadata.next_chunk_id == "d1_p1_tbl0"
+    assert got["d1_p2_i0_ocr"].metadata.ocr_confidence == 80.0 and got["d1_p3_i1_fail"].metadata.vision_error == "blank/uniform" and got["d1_p3_i2_fail"].metadata.processing_status == "failed"
+    registry = {r.doc_id: r for r in done.registry.collect()}
+    assert registry["d1"].image_caption == 2 and registry["d1"].errors == 0 and registry["d2"].pages == 1
+    failed = make(Down())
+    assert {(r.doc_id, r.page, r.error) for r in failed.errors.collect()} == {("d1", 2, "RuntimeError: no vision"), ("d2", 1, "RuntimeError: no vision")}
+    assert {r.chunk_id for r in failed.chunks.where("type = 'image_ocr'").collect()} == {"d1_p2_i0_ocr", "d2_p1_i0_ocr", "d1_p3_i2_fail"} and {r.doc_id: r.errors for r in failed.registry.collect()} == {"d1": 1, "d2": 1}
 
 
 def test_store(spark, tmp_path):
@@ -205,11 +238,19 @@ def test_parsing(spark):
     assert {(r.doc_id, r.content) for r in mixed.collect()} == {("a", "p"), ("b", "q")}
 
 
-def test_providers(spark):
+def test_providers(spark, tmp_path):
     class Failing(Provider):
+        reply_type, backoff = "array<float>", 0.0
+
         def reply(self, texts):
             raise RuntimeError("down")
 
+    class Slow(Provider):
+        per_minute, most_items = 60 * 20 * 4, 1  # a call each 50 ms in each of four tasks
+
+        def reply(self, texts):
+            return [str(time.monotonic()) for _ in texts]
+
     assert batches_within([5, 5, 100, 1], 10, 9) == [range(0, 2), range(2, 3), range(3, 4)] and batches_within([]) == []
     calls = []
     assert with_retries(lambda: calls.append(1) or (_ for _ in ()).throw(ValueError()) if len(calls) < 2 else [1], sleep=lambda s: None) == [1]
@@ -221,6 +262,11 @@ def test_providers(spark):
     assert {r.error for r in asked(rows, Failing(), "k", "t").collect()} == {"RuntimeError: down"}
     known, new = applied(rows, HashEmbedder(8), "k", "t", spark.createDataFrame([("a", [1.0])], "k string, reply array<float>"))
     assert {r.k for r in new.collect()} == {"b", "c"} and known.count() == 3
+    at = sorted(float(r.reply) for r in asked(spark.range(6).selectExpr("id", "'x' as t").coalesce(1), Slow(), "id", "t").collect())
+    assert min(b - a for a, b in zip(at, at[1:])) > 0.04
+    folder = f"file://{tmp_path}/cache"
+    first = {r.k: r.reply for r in cached(rows, HashEmbedder(8), "k", "t", folder).collect()}
+    assert set(first) == {"a", "b", "c"} and {r.k: r.reply for r in cached(rows, Failing(), "k", "t", folder).collect()} == first
 
 
 def test_settings(tmp_path):
