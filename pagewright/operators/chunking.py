@@ -125,7 +125,20 @@ def name_pieces(pieces: DataFrame, kind: str = "text") -> DataFrame:
 
 
 def link_chunks(chunks: DataFrame, order: list[str]) -> DataFrame:
-    """Adds prev_chunk_id and next_chunk_id within each document, over text and table chunks; others get NULL."""
-    linked = F.col("type").isin("text", "table")
-    w = W.partitionBy("doc_id", linked).orderBy(*order)
-    return chunks.withColumn("prev_chunk_id", F.when(linked, F.lag("chunk_id").over(w))).withColumn("next_chunk_id", F.when(linked, F.lead("chunk_id").over(w)))
+    """Adds prev_chunk_id and next_chunk_id within each document, over text and table chunks; others get NULL.
+
+    ``order`` is the order within a page; pages come one after the other. Neighbours are
+    found within each page, and only the first and last chunk of each page meet those of the
+    next, so no task sorts a document.
+    """
+    keys = ["doc_id", "_linked", "page"]
+    rows = chunks.withColumn("_linked", F.coalesce(F.col("type").isin("text", "table"), F.lit(False)))
+    place = F.struct(*order)
+    edges = rows.where("_linked").groupBy(*keys).agg(F.min_by("chunk_id", place).alias("_first"), F.max_by("chunk_id", place).alias("_last"))
+    pages = W.partitionBy("doc_id").orderBy("page")
+    edges = edges.select(*(F.col(c).alias(f"_e{c}") for c in keys), F.lag("_last").over(pages).alias("_before"), F.lead("_first").over(pages).alias("_after"))
+    w = W.partitionBy(*keys).orderBy(*order)
+    near = rows.withColumn("_prev", F.lag("chunk_id").over(w)).withColumn("_next", F.lead("chunk_id").over(w))
+    joined = near.join(edges, (near["doc_id"].eqNullSafe(F.col("_edoc_id")) & near["page"].eqNullSafe(F.col("_epage")) & (near["_linked"] == F.col("_e_linked"))), "left")
+    link = lambda inner, outer: F.when(F.col("_linked"), F.coalesce(inner, outer))
+    return joined.select(*(near[c] for c in chunks.columns), link("_prev", "_before").alias("prev_chunk_id"), link("_next", "_after").alias("next_chunk_id"))

@@ -49,12 +49,21 @@ def with_fallback(primary: DataFrame, alternative: DataFrame, coverage: DataFram
 
 
 def ordered_elements(*parts: DataFrame) -> DataFrame:
-    """All elements with ``seq`` by page, then text, table, image, then their own order."""
+    """All elements with ``seq`` by page, then text, table, image, then their own order.
+
+    Elements are numbered within their page; the numbers of the pages before are added up
+    over one row per page.
+    """
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p, allowMissingColumns=True)
     rank = F.when(F.col("type") == "text", 0).when(F.col("type") == "table", 1).otherwise(2)
-    return rows.withColumn("seq", F.row_number().over(W.partitionBy("doc_id").orderBy("page", rank, "elem_idx")) - 1)
+    sizes = rows.groupBy("doc_id", "page").agg(F.count("*").alias("_n"))
+    earlier = F.coalesce(F.sum("_n").over(W.partitionBy("doc_id").orderBy("page").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select(F.col("doc_id").alias("_doc"), F.col("page").alias("_page"), earlier.alias("_earlier"))
+    inside = rows.withColumn("_at", F.row_number().over(W.partitionBy("doc_id", "page").orderBy(rank, "elem_idx")) - 1)
+    joined = inside.join(offsets, inside["doc_id"].eqNullSafe(F.col("_doc")) & inside["page"].eqNullSafe(F.col("_page")))
+    return joined.select(*(inside[c] for c in rows.columns), (F.col("_at") + F.col("_earlier")).cast("int").alias("seq"))
 
 
 def page_texts(elements: DataFrame) -> DataFrame:

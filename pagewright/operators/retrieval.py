@@ -6,10 +6,14 @@ was first put in; it breaks ties as a stable sort would.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from pagewright.functions.predicates import IMAGE_TYPES, image_question, table_question
-from pagewright.plans.lineage import materialize
+from pagewright.plans.lineage import materialize, written_blocks
 
 HITS = ["query_id", "chunk_id", "type", "score", "ord"]
 
@@ -30,24 +34,48 @@ def intent(questions: DataFrame, question: str = "question") -> DataFrame:
     return rows.withColumn("preferred", preferred)
 
 
+#: Anchors that are searched for at a time, and texts that a task holds against them.
+ANCHOR_BLOCK, TEXT_BLOCK = 20_000, 16_384
+
+
 def anchor_candidates(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     """(query_id, chunk_id, type, score) of chunks that contain a question's anchor (4 characters and more), case aside.
 
-    Both sides are keyed by the words of the anchor that stand whole in it (its inner words,
-    or its three-letter parts where it has none): a chunk can contain the anchor only if it
-    has its rarest key, so candidates come from an equi-join and ``contains`` decides.
+    The distinct anchors are written in blocks; the texts are read once, and every task runs
+    those it holds through one automaton of anchors after the other.
     """
     asked = questions.where(F.length("anchor") >= 4).withColumn("needle", F.lower("anchor"))
-    grams = lambda t: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 3, F.lit(1))), lambda i: F.substring(t, i, F.lit(4))))
-    wanted = asked.select("query_id", "needle", "preferred", F.explode(grams(F.col("needle"))).alias("gram"))
-    used = wanted.select("gram").distinct()
-    held = chunks.select("chunk_id", "type", F.lower("content").alias("body"))
-    postings = held.select("chunk_id", F.explode(grams(F.col("body"))).alias("gram")).join(used, "gram", "left_semi")
-    df = postings.groupBy("gram").agg(F.count("*").alias("df"))
-    rarest = wanted.join(df, "gram", "left").fillna(0, ["df"]).groupBy("query_id", "needle", "preferred").agg(F.min_by("gram", F.struct("df", "gram")).alias("gram"))
-    both = rarest.join(postings, "gram").join(held, "chunk_id").where(F.contains("body", "needle"))
+    blocks = written_blocks(asked.select("needle").distinct(), "needle", ANCHOR_BLOCK, "anchors")
+    held = chunks.where("content is not null").select("chunk_id", "type", F.lower("content").alias("body"))
+
+    def found(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held)
+        bodies = rows["body"].to_pylist()
+        for block in blocks.read():
+            needles = block["needle"].to_pylist()
+            if not needles:
+                continue
+            automaton = ahocorasick.Automaton()
+            for needle in needles:
+                automaton.add_word(needle, needle)
+            automaton.make_automaton()
+            hits = [(i, x) for i, body in enumerate(bodies) for x in {x for _, x in automaton.iter(body)}]
+            at = pa.array([i for i, _ in hits], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([x for _, x in hits], pa.string()), rows["chunk_id"].combine_chunks().take(at), rows["type"].combine_chunks().take(at), pa.array([len(bodies[i]) for i, _ in hits], pa.int32())], ["needle", "chunk_id", "type", "n_chars"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= TEXT_BLOCK:
+                yield from found(held)
+                held = []
+        if held:
+            yield from found(held)
+
+    both = asked.select("query_id", "needle", "preferred").join(held.mapInArrow(run, "needle string, chunk_id string, type string, n_chars int"), "needle")
     bonus = F.when(F.col("type") == "text", 0.02).otherwise(0.04) + F.when(F.array_contains("preferred", F.col("type")), 0.20).otherwise(0.0)
-    return both.select("query_id", "chunk_id", "type", (F.length("needle") / F.greatest(F.length("body"), F.lit(1)) + bonus).alias("score"))
+    return both.select("query_id", "chunk_id", "type", (F.length("needle") / F.greatest(F.col("n_chars"), F.lit(1)) + bonus).alias("score"))
 
 
 def merge_hybrid(dense: DataFrame, lexical: DataFrame) -> DataFrame:

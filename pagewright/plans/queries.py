@@ -62,6 +62,10 @@ def sql_normalize(text: str) -> str:
     return f"replace({text}, '', chr(10) || chr(10))"
 
 
+def sql_looks_like_table(text: str) -> str:
+    return f"{sql_parts(text, ['table', 'табл'])} OR contains({text}, '|') OR regexp_matches({text}, '[^\\t\\n\\x0B\\f\\r ] {{2,}}[^\\t\\n\\x0B\\f\\r ]+(?: [^\\t\\n\\x0B\\f\\r ]+)* {{2,}}[^\\t\\n\\x0B\\f\\r ]') OR (length(regexp_replace({text}, '[^0-9]', '', 'g')) >= 12 AND length(regexp_replace({text}, '[^0-9]', '', 'g')) >= 0.05 * length({text}))"
+
+
 SQL_TYPE = r"coalesce(nullif(regexp_replace(lower(trim(type)), '[\s-]+', '_', 'g'), ''), 'text')"
 SQL_TIME = "try_cast(metadata.ingest_ts AS timestamptz)"
 SQL_LATEST = f"""latest AS (SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY {SQL_TIME} DESC NULLS LAST, content DESC NULLS LAST, doc_id DESC NULLS LAST) AS n FROM chunks) WHERE n = 1)"""
@@ -126,18 +130,19 @@ SQL_LABEL = "CASE WHEN label <= 5 THEN 'text' WHEN label <= 7 THEN 'table' WHEN
 
 
 def _dense_and_near(spark: SparkSession, sf: str, k: int) -> tuple[DataFrame, DataFrame]:
-    """Dense hits, and hits of a second ranking: the ids nearest to the query's within the same label."""
+    """Dense hits, and hits of a second ranking: by the first half of the dimensions."""
     e = table(spark, sf, "embeddings")
     q = e.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
     kind = e.select(F.col("vec_id").alias("chunk_id"), _label_type("label").alias("type"))
     dense = vectors.top_k(q, e, 2 * k, "query_id", "vec_id", "embedding").withColumnRenamed("vec_id", "chunk_id").join(kind, "chunk_id")
-    pairs = q.select("query_id", "label").join(e.select(F.col("vec_id").alias("chunk_id"), "label"), "label").withColumn("far", F.abs(F.col("chunk_id") - F.col("query_id")))
-    near = pairs.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("far", "chunk_id"))).where(F.col("rank") <= k)
-    return dense, near.select("query_id", "chunk_id", _label_type("label").alias("type"), (1.0 / (F.col("rank") + 1)).alias("score"), "rank")
+    half = lambda rows: rows.withColumn("embedding", F.slice("embedding", 1, 32))
+    near = vectors.top_k(half(q), half(e), k, "query_id", "vec_id", "embedding").withColumnRenamed("vec_id", "chunk_id").join(kind, "chunk_id")
+    return dense, near.select("query_id", "chunk_id", "type", (1.0 / (F.col("rank") + 1)).alias("score"), "rank")
 
 
 @query(f"""WITH {SQL_DENSE}, d AS (SELECT query_id, vec_id, label, score, rank FROM dense WHERE rank <= 24),
-n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY far, vec_id) AS rank FROM (SELECT q.vec_id AS query_id, x.vec_id, x.label, abs(x.vec_id - q.vec_id) AS far FROM embeddings q JOIN embeddings x USING (label) WHERE q.vec_id % 20 = 0)),
+h AS (SELECT vec_id, label, list_transform(embedding[1:32], lambda x: x::double / sqrt(list_dot_product(embedding[1:32]::double[], embedding[1:32]::double[]))) AS v FROM embeddings),
+n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, vec_id) AS rank FROM (SELECT q.vec_id AS query_id, x.vec_id, x.label, list_dot_product(q.v, x.v) AS score FROM h q, h x WHERE q.vec_id % 20 = 0)),
 l AS (SELECT query_id, vec_id, label, 1.0::double / (rank + 1) AS score, rank FROM n WHERE rank <= 12),
 m AS (SELECT coalesce(d.query_id, l.query_id) AS query_id, coalesce(d.vec_id, l.vec_id) AS chunk_id, coalesce(d.label, l.label) AS label,
  CASE WHEN d.score IS NOT NULL AND l.score IS NOT NULL THEN (d.score + l.score) / 2 WHEN d.score IS NOT NULL THEN d.score ELSE l.score * 0.5::double END AS score, coalesce(d.rank, l.rank + 1000000) AS ord
@@ -159,13 +164,14 @@ def query_intent(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def anchored(spark: SparkSession, sf: str) -> DataFrame:
-    """Questions that quote a piece of the text chunks of every twentieth page."""
-    rows = good(spark, sf).where("type = 'text' and page % 20 = 0").withColumn("anchor", F.trim(F.substring("content", 5, 24)))
+    """Questions that quote a piece of the text chunks whose id, as a number, is divisible by 20."""
+    number = F.conv(F.substring(F.md5("chunk_id"), 1, 8), 16, 10).cast("bigint")
+    rows = good(spark, sf).where((F.col("type") == "text") & (number % 20 == 0)).withColumn("anchor", F.trim(F.substring("content", 5, 24)))
     rows = rows.where((F.length("anchor") >= 4) & ~F.col("anchor").rlike("[\"“”«»\n]"))
     return rows.select(F.col("chunk_id").alias("query_id"), F.concat(F.lit('Which passage has a phrase includes "'), F.col("anchor"), F.lit('"?')).alias("question"))
 
 
-@query(f"""WITH {SQL_GOOD}, a AS (SELECT chunk_id AS query_id, trim(substr(content, 5, 24), ' ') AS anchor FROM good WHERE {SQL_TYPE} = 'text' AND page % 20 = 0)
+@query(f"""WITH {SQL_GOOD}, a AS (SELECT chunk_id AS query_id, trim(substr(content, 5, 24), ' ') AS anchor FROM good WHERE {SQL_TYPE} = 'text' AND ('0x' || substr(md5(chunk_id), 1, 8))::bigint % 20 = 0)
 SELECT query_id, chunk_id, {SQL_TYPE} AS type, round(length(anchor)::double / greatest(length(content), 1) + CASE WHEN {SQL_TYPE} = 'text' THEN 0.02 ELSE 0.04 END + CASE WHEN {SQL_TYPE} = 'text' THEN 0.20 ELSE 0 END, 4)::double AS score
 FROM a, good WHERE length(anchor) >= 4 AND NOT regexp_matches(anchor, '["“”«»\n]') AND contains(lower(content), lower(anchor))""")
 def anchor_candidates(spark: SparkSession, sf: str) -> DataFrame:
@@ -270,7 +276,7 @@ def chunk_text(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.name_pieces(chunking.chunk_texts(docs)).select("doc_id", "chunk_id", "piece_idx", F.length("content").alias("chars"), F.md5("content").alias("hash"))
 
 
-@query(f"SELECT doc_id, {sql_parts('text', ['table', 'табл'])} OR contains(text, '|') OR regexp_matches(text, '[^\\t\\n\\x0B\\f\\r ] {{2,}}[^\\t\\n\\x0B\\f\\r ]+(?: [^\\t\\n\\x0B\\f\\r ]+)* {{2,}}[^\\t\\n\\x0B\\f\\r ]') OR (length(regexp_replace(text, '[^0-9]', '', 'g')) >= 12 AND length(regexp_replace(text, '[^0-9]', '', 'g')) >= 0.05 * length(text)) AS is_table FROM documents")
+@query(f"SELECT doc_id, {sql_looks_like_table('text')} AS is_table FROM documents")
 def looks_like_table(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", P.looks_like_table(F.col("text")).alias("is_table"))
 
@@ -485,6 +491,34 @@ def without_document(spark: SparkSession, sf: str) -> DataFrame:
     return store.without_document(latest(spark, sf), "5eedc0ffee01").select("chunk_id")
 
 
+@query(f"""WITH {SQL_LATEST} SELECT chunk_id FROM latest WHERE chunk_id NOT IN (SELECT chunk_id FROM latest WHERE doc_id = '5eedc0ffee01')""")
+def vectors_without_document(spark: SparkSession, sf: str) -> DataFrame:
+    rows = latest(spark, sf)
+    return store.vectors_without_document(rows.select("chunk_id"), rows, "5eedc0ffee01")
+
+
+@query(f"""WITH {SQL_LATEST} SELECT DISTINCT metadata.image_hash AS image_hash FROM latest WHERE doc_id = '5eedc0ffee01' AND metadata.image_hash IS NOT NULL""")
+def image_hashes(spark: SparkSession, sf: str) -> DataFrame:
+    return store.image_hashes(latest(spark, sf), "5eedc0ffee01")
+
+
+@query(f"""WITH {SQL_LATEST}, i AS (SELECT doc_id, chunk_id, page, metadata.image_hash AS image_hash FROM latest WHERE metadata.image_hash IS NOT NULL) SELECT chunk_id, min(page) OVER (PARTITION BY doc_id, image_hash) AS first_index FROM i""")
+def once_per_document(spark: SparkSession, sf: str) -> DataFrame:
+    """The page on which each image of a document comes first."""
+    rows = latest(spark, sf).where("metadata.image_hash is not null").select("doc_id", "chunk_id", F.col("page").alias("image_index"), F.col("metadata.image_hash").alias("image_hash"))
+    return images.once_per_document(rows).select("chunk_id", "first_index")
+
+
+@query(f"""WITH {SQL_GOOD}, p AS (SELECT doc_id, page, bool_or({sql_looks_like_table('content')}) AS hit FROM good WHERE {SQL_TYPE} = 'text' GROUP BY ALL) SELECT doc_id, page FROM p QUALIFY hit OR NOT bool_or(hit) OVER (PARTITION BY doc_id)""")
+def candidate_pages(spark: SparkSession, sf: str) -> DataFrame:
+    return statistics.candidate_pages(good(spark, sf).where("type = 'text'"), P.looks_like_table(F.col("content")))
+
+
+@query(f"""SELECT doc_id, md5(array_to_string(w[greatest(len(w) - 37, 1):], ' ')) AS hash FROM (SELECT doc_id, {sql_words('text')} AS w FROM documents WHERE text IS NOT NULL)""")
+def overlap_text(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").where("text is not null").select("doc_id", F.md5(chunking.overlap_text(F.col("text"))).alias("hash"))
+
+
 # --- questions and judgments ---------------------------------------------------------------------
 
 SQL_JUDGED = """j AS (SELECT DISTINCT entry_id, question, expected_answer, slice, (entry_id % 11) / 10.0::double AS faithfulness, (entry_id % 7) / 6.0::double AS relevancy, (entry_id % 5) / 4.0::double AS context_precision, (entry_id % 3) / 2.0::double AS context_recall,
@@ -571,6 +605,11 @@ def embedding_texts(spark: SparkSession, sf: str) -> DataFrame:
     return good(spark, sf).select("chunk_id", F.md5(answering.embedding_text(F.col("content"), F.col("type"), F.col("metadata.image_type"))).alias("hash"))
 
 
+@query("""WITH d AS (SELECT DISTINCT entry_id, question, slice FROM dataset) SELECT entry_id, slice FROM d QUALIFY slice <> 'image' OR row_number() OVER (PARTITION BY slice, question ORDER BY entry_id) = 1""")
+def distinct_questions(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluation.distinct_questions(table(spark, sf, "dataset").select("entry_id", "question", "slice").distinct(), "entry_id").select("entry_id", "slice")
+
+
 # --- streams -------------------------------------------------------------------------------------
 
 
