@@ -9,6 +9,8 @@ from pagewright.llm.tokenizer import Tokenizer
 
 #: Bins that a source's documents are spread over by their seeded hash, so that running totals need no task per source.
 BINS = 1024
+#: Rows of a plan that are sent to every task.
+BROADCAST_ROWS = 10_000
 
 
 def sized_documents(documents: DataFrame, tokenizer: Tokenizer) -> DataFrame:
@@ -52,7 +54,9 @@ def select_documents(plan: DataFrame, sized: DataFrame, seed: int = 42) -> DataF
     inside the bins, so a source with a third of all rows is still spread over many tasks.
     """
     plan = plan.where("n_tokens > 0 and planned > 0").select("mix_id", "source", F.col("n_tokens").alias("source_tokens"), "planned", "max_repeats")
-    joined = sized.join(F.broadcast(plan), "source")  # a parameter table: one row per mix and source
+    # The plan is a parameter table with a row per mix and source; one beyond the bound is joined by key.
+    small = len(plan.select("mix_id").limit(BROADCAST_ROWS + 1).collect()) <= BROADCAST_ROWS
+    joined = sized.join(F.broadcast(plan) if small else plan, "source")
     order = F.xxhash64(F.lit(seed), "mix_id", "doc_id")
     rows = joined.withColumn("rank_hash", order).withColumn("bin", F.shiftrightunsigned(F.col("rank_hash"), 64 - BINS.bit_length() + 1))
     rows = rows.withColumn("whole", F.floor(F.col("planned") / F.col("source_tokens")))
@@ -73,7 +77,8 @@ def mix_documents(documents: DataFrame, targets: DataFrame, tokenizer: Tokenizer
     Documents without text, tokens or source are never selected; repeated rows count once;
     NULL max_repeats means once; a mix whose sources have no documents reports zero shares.
     The selection has a row per mix and document with its number of uses; the report a row
-    per mix and source with target, planned and actual share and the epochs used.
+    per mix and source with the wanted size of the mix, whether the source is clamped at its
+    cap below its share of it, target, planned and actual share and the epochs used.
     """
     sized = sized_documents(documents, tokenizer)
     sizes = sized.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
@@ -83,5 +88,6 @@ def mix_documents(documents: DataFrame, targets: DataFrame, tokenizer: Tokenizer
     report = plan.join(used, ["mix_id", "source"], "left").fillna(0, ["used_tokens", "used_docs"])
     mix = W.partitionBy("mix_id")
     share = lambda c: F.coalesce(F.try_divide(F.col(c).cast("double"), F.sum(c).over(mix).cast("double")), F.lit(0.0))
-    report = report.select("mix_id", "source", "target_share", "max_repeats", "n_docs", "n_tokens", F.round(share("planned"), 6).alias("planned_share"), F.round(share("used_tokens"), 6).alias("actual_share"), "used_docs", "used_tokens", F.round(F.coalesce(F.try_divide(F.col("used_tokens").cast("double"), F.col("n_tokens").cast("double")), F.lit(0.0)), 6).alias("epochs"))
+    share_of_total = F.col("total") * F.col("target_share")
+    report = report.select("mix_id", "source", "target_share", "max_repeats", "n_docs", "n_tokens", F.col("total").alias("mix_tokens"), (F.col("planned") < share_of_total - 1e-6).alias("clamped"), F.round(share("planned"), 6).alias("planned_share"), F.round(share("used_tokens"), 6).alias("actual_share"), "used_docs", "used_tokens", F.round(F.coalesce(F.try_divide(F.col("used_tokens").cast("double"), F.col("n_tokens").cast("double")), F.lit(0.0)), 6).alias("epochs"))
     return chosen, report
