@@ -113,6 +113,21 @@ def _best(tokens: Tokens, q: Questions, mean_length: float, k: int) -> Iterator[
         yield row + begin, question, raw[row, question]
 
 
+def _best_of_all(parts: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """What may be among the k best of each question over all blocks of a batch; scores that tie with the k-th stay."""
+    found = list(parts)
+    if not found:
+        return
+    text, question, raw = (np.concatenate(x) for x in zip(*found))
+    order = np.lexsort((-raw, question))
+    text, question, raw = text[order], question[order], raw[order]
+    begin = np.flatnonzero(np.concatenate([[True], question[1:] != question[:-1]]))
+    size = np.diff(np.concatenate([begin, [len(question)]]))
+    kth = raw[begin + np.minimum(k, size) - 1]
+    keep = raw >= np.repeat(kth, size) - 1e-5
+    yield text[keep], question[keep], raw[keep]
+
+
 def bm25_top_k(queries: DataFrame, index: LexicalIndex, k: int) -> DataFrame:
     """(query_id, id, score, rank): the k best of positive score, scores over ten cut to one, ties by id.
 
@@ -131,7 +146,7 @@ def bm25_top_k(queries: DataFrame, index: LexicalIndex, k: int) -> DataFrame:
             tokens = _tokens(batch.column(1))
             for rows in blocks.read():
                 q = _questions(rows)
-                for text, question, raw in _best(tokens, q, mean_length, k):
+                for text, question, raw in _best_of_all(_best(tokens, q, mean_length, k), k):
                     yield pa.RecordBatch.from_arrays([q.ids.take(pa.array(question)), batch.column(0).take(pa.array(text)), pa.array(raw)], ["query_id", "id", "raw"])
 
     scored = index.texts.mapInArrow(run, f"query_id {kinds[0]}, id {kinds[1]}, raw double")
