@@ -7,6 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from pagewright.operators import hybrid, lexical, retrieval, vectors
+from pagewright.plans import queries as core
 from pagewright.plans.answering import embed_chunks
 from pagewright.providers import HashEmbedder
 
@@ -45,3 +46,11 @@ def test_nearest_stay_within_memory_and_ties_do_not_pile_up():
     tracemalloc.stop()
     found = {row: docs for row, docs, _ in near.lists()}
     assert found[1_023] == list(range(5_000, 5_024)) and found[0][0] == 4_990 and peak < 900e6
+
+
+def test_every_question_is_searched(spark, make_chunks, tmp_path):
+    make_chunks([(f"c{i}", f"The lens {i} has a thermal detector number {i}.") for i in range(15)]).write.parquet(f"{tmp_path}/chunks.parquet")
+    spark.createDataFrame([(1, "which lens?"), (7, "which lens?"), (19, "detector 3"), (20, "detector 4"), (21, None)], "entry_id long, question string").write.parquet(f"{tmp_path}/dataset.parquet")
+    found = core.hybrid_search(spark, str(tmp_path)).collect()
+    assert {i: sum(r.query_id == i for r in found) for i in (1, 7, 19, 20, 21)} == {1: 12, 7: 12, 19: 12, 20: 12, 21: 0}
+    assert {(r.n, r.chunk_id) for r in found if r.query_id == 1} == {(r.n, r.chunk_id) for r in found if r.query_id == 7}
