@@ -11,6 +11,8 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
@@ -28,7 +30,11 @@ LEXICON_WORDS = 50_000
 MARKER = r"^\s*(?:[-–—•▪◦●■*·o]\s+|\(?\d{1,3}[.)]\s|\(\p{L}\)\s|\p{L}\)\s|\[\d{1,4}\]\s|\d{1,3}\s+[-–—]\s|\d{1,2}(?:\.\d{1,2}){1,3}\.?\s|\p{Lu}{2,}\d+\s*[-–—:=]\s)"
 #: A table-of-contents line ends in leaders and a page number.
 LEADERS = r"(?:\.\s?|…\s?|·\s?){4,}\s*\d+\s*$|…+\s*\d+\s*$"
+#: What every match of LEADERS ends in, which is soon looked up.
+LAST_NUMBER = r"\d\s*$"
 CELL_GAP = r"(?:(?<=\s)|^)\|(?=\s|$)|\t|</?t[dhr]\b|\S {2,}(?=\S)"
+#: Every match of CELL_GAP has one of these.
+CELL_SIGNS = ["|", "\t", "<", "  "]
 TIGHT_COMMA = r"\S[;,](?=\S)"
 SENTENCE_END = r"[\p{Ll}\p{Lu}%°)\]»”\"][.!?…][»”\")]*(?=\s|$)"
 #: A short segment that begins like a heading, maybe after a marker, and does not end like a sentence.
@@ -61,25 +67,27 @@ def lexicon_words(lexicon: DataFrame) -> tuple[list[str], list[str]]:
 def text_statistics(rows: DataFrame, text_column: str, known: list[str], common: list[str]) -> DataFrame:
     """``rows`` with the columns of ``FEATURES`` after the text; NULL and blank text gives zeros.
 
-    Whole texts are measured, whatever their length.
+    Whole texts are measured, whatever their length. Where a slow pattern needs some character,
+    texts and lines without it are spared the search.
     """
     t = F.coalesce(F.col(text_column), F.lit(""))
     share = lambda n, of: F.coalesce(F.try_divide(n.cast("double"), of.cast("double")), F.lit(0.0))
     left = lambda pattern: F.length(F.regexp_replace(t, pattern, ""))
     chars = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + F.length(x))
     count = lambda pattern: F.regexp_count(t, F.lit(pattern))
+    may_have_cells = lambda x: reduce(or_, [x.contains(sign) for sign in CELL_SIGNS])
     base = rows.withColumns({
-        "_lines": F.filter(F.split(t, LINE_BREAK), lambda x: x.rlike(r"\S")),
+        "_lines": F.filter(F.split(F.replace(t, F.lit("\r"), F.lit("\n")), "\n"), lambda x: x.rlike(r"\S")),
         "_tokens": blanks_split(t),
         "_segments": F.filter(F.split(t, r"[\n\r;]+"), lambda x: x.rlike(r"\S")),
-        "_alpha": F.filter(F.split(F.lower(F.regexp_replace(t, r"<[^<>]{1,40}>", " ")), r"[^\p{L}]+"), lambda w: w != ""),
+        "_alpha": F.filter(F.split(F.lower(F.when(t.contains("<"), F.regexp_replace(t, r"<[^<>]{1,40}>", " ")).otherwise(t)), r"[^\p{L}]+"), lambda w: w != ""),
         "_visible": left(r"(?U)\s+"),
         "_letters": left(r"[^\p{L}]+"),
         "_digits": left(r"[^\p{N}]+"),
     })
     base = base.withColumns({"_common": F.filter("_alpha", lambda w: w.isin(common)), "_long": F.filter("_alpha", lambda w: F.length(w) >= 3), "_n_alpha": F.size("_alpha"), "_n_tokens": F.size("_tokens"), "_line_chars": chars(F.col("_lines"))})
     lines, tokens, alpha, n_alpha, n_tokens, visible = (F.col(c) for c in ("_lines", "_tokens", "_alpha", "_n_alpha", "_n_tokens", "_visible"))
-    in_lines = lambda pattern: share(chars(F.filter(lines, lambda x: x.rlike(pattern))), F.col("_line_chars"))
+    in_lines = lambda pattern, first=lambda x: F.lit(True): share(chars(F.filter(lines, lambda x: first(x) & x.rlike(pattern))), F.col("_line_chars"))
     of_lines = lambda pattern: share(F.size(F.filter(lines, lambda x: x.rlike(pattern))), F.size(lines))
     return base.withColumns({
         "n_tokens": n_tokens.cast("double"),
@@ -93,9 +101,9 @@ def text_statistics(rows: DataFrame, text_column: str, known: list[str], common:
         "distinct_share": share(F.size(F.array_distinct(alpha)), n_alpha),
         "number_share": share(F.size(F.filter(tokens, lambda w: w.rlike(NUMBER_CELL))), n_tokens),
         "marker_share": in_lines(MARKER),
-        "leader_share": in_lines(LEADERS),
-        "cell_share": in_lines(rf"(?:(?:{CELL_GAP}).*?){{2,}}"),
-        "cells_per_token": share(count(CELL_GAP), n_tokens),
+        "leader_share": in_lines(LEADERS, lambda x: x.rlike(LAST_NUMBER)),
+        "cell_share": in_lines(rf"(?:(?:{CELL_GAP}).*?){{2,}}", may_have_cells),
+        "cells_per_token": share(F.when(may_have_cells(t), count(CELL_GAP)).otherwise(0), n_tokens),
         "tight_commas": share(count(TIGHT_COMMA), n_tokens),
         "sentence_rate": share(count(SENTENCE_END), n_tokens),
         "high_latin_share": share(visible - left(r"[\u0080-ÿ\s]+"), visible),
@@ -338,6 +346,10 @@ def chunk_kinds(chunks: DataFrame, lexicon: DataFrame, case: str | None = None)
 def not_prose(chunks: DataFrame, lexicon: DataFrame) -> DataFrame:
     """(chunk_id, kind) of the chunks whose content is a table, a list or junk.
 
-    Only the statistics that the learned rules use are computed for all rows.
+    Only the statistics that the learned rules use are computed for all rows, each once: a filter
+    on ``kind`` itself would be pushed below the statistics, with a copy of them for every
+    mention in the rules, and they would be computed again for the rows it leaves. It does not
+    pass a generator.
     """
-    return _with_kind(chunks, lexicon, None).where(F.col("kind") != "prose").select("chunk_id", "kind").distinct()
+    kinds = _with_kind(chunks, lexicon, None).select("chunk_id", F.stack(F.lit(1), "kind").alias("kind"))
+    return kinds.where(F.col("kind") != "prose").distinct()

@@ -148,6 +148,22 @@ def test_kinds(make_chunks, lexicon):
     assert not_prose(make_chunks(rows).where("false"), lexicon).collect() == []
 
 
+def test_statistics_are_computed_once(make_chunks, lexicon):
+    rows = [(f"{k}{i}", f"{text} {i}") for i in range(30) for k, text in (("p", PROSE), ("t", TABLE), ("l", LIST), ("j", JUNK))]
+    plan = not_prose(make_chunks(rows), lexicon)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(lower(") == 1  # the words, which several statistics count
+    assert not [line for line in plan.splitlines() if "Filter " in line and ("split(" in line or "regexp_replace(" in line)]
+
+
+def test_spared_searches_miss_nothing(spark):
+    rows = [("a | b | c", 1, 2 / 5), ("a\tb\tc\r\nplain", 5 / 10, 2 / 4), ("<td>a</td>", 1, 2 / 1), ("a  b   c", 1, 2 / 3), ("a  b", 0, 1 / 2), ("a < b", 0, 0), ("a|b|c", 0, 0)]
+    got = {r.content: r for r in text_statistics(spark.createDataFrame([(x,) for x, *_ in rows], "content string"), "content", [], []).collect()}
+    for text, in_lines, per_token in rows:
+        assert (got[text].cell_share, got[text].cells_per_token) == (pytest.approx(in_lines), pytest.approx(per_token))
+    leaders = text_statistics(spark.createDataFrame([("Lens .... 12\rBeam … 3 \nLoop 4\n5 .... x",)], "content string"), "content", [], []).first()
+    assert leaders.leader_share == pytest.approx((12 + 9) / (12 + 9 + 6 + 8))
+
+
 def test_statistics_of_null_and_clashing_columns(spark):
     df = spark.createDataFrame([(None, "a"), ("Ab 12.", "b")], "content string, n_lines string")
     rows = text_statistics(df, "content", ["ab"], ["ab"]).orderBy("n_lines").collect()
